@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewise.llm import simhash
+from tilewise.llm import bpe, mixing, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_sharding": sharding.op2_sharding,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_bpe": bpe.op7_bpe,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": sharding.op2_sql()}
