@@ -8,7 +8,8 @@ sum stays its target up to the last document that is left.
 
 Documents meet in blocks of about ``BLOCK``, drawn by a hash; each block is folded into decisions and at most one
 undecided document. Undecided ones meet in blocks again, a tree with log(documents)/log(BLOCK) levels, down to one a
-source, which is rounded to the nearer side. Hot sources are many blocks. Draws are hashes: reruns agree.
+source, which is rounded to the nearer side. Within a block the largest meet first, so that small ones are left to
+carry what is undecided. Hot sources are many blocks. Draws are hashes: reruns agree.
 
 All of it is DataFrame functions. Sources are aggregated first: one row each.
 """
@@ -26,7 +27,7 @@ from tilewise.llm import scratch
 #: Documents that meet in a block, on average; weights, the share of all words that is mixed, and copies at most.
 BLOCK, WEIGHTS, SHARE, MOST = 128, (3, 1, 2), 1.5, 2.0
 _WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
-_UNIT = "struct<h:bigint,id:{id},size:bigint,p:double>"
+_UNIT = "struct<size:bigint,h:bigint,id:{id},p:double>"
 _FOLD = """
     aggregate(
       units,
@@ -38,16 +39,16 @@ _FOLD = """
           case when t.u * (least(t.up, t.none) + least(t.down, t.all)) < least(t.down, t.all) then
             case when t.up <= t.none
               then named_struct('done', array_append(acc.done, named_struct('id', acc.rest.id, 'size', acc.rest.size, 'pick', 1)),
-                                'rest', named_struct('h', b.h, 'id', b.id, 'size', b.size, 'p', greatest(0D, b.p - t.up / b.size)))
+                                'rest', named_struct('size', b.size, 'h', b.h, 'id', b.id, 'p', greatest(0D, b.p - t.up / b.size)))
               else named_struct('done', array_append(acc.done, named_struct('id', b.id, 'size', b.size, 'pick', 0)),
-                                'rest', named_struct('h', acc.rest.h, 'id', acc.rest.id, 'size', acc.rest.size, 'p', least(1D, acc.rest.p + t.none / acc.rest.size)))
+                                'rest', named_struct('size', acc.rest.size, 'h', acc.rest.h, 'id', acc.rest.id, 'p', least(1D, acc.rest.p + t.none / acc.rest.size)))
             end
           else
             case when t.down <= t.all
               then named_struct('done', array_append(acc.done, named_struct('id', acc.rest.id, 'size', acc.rest.size, 'pick', 0)),
-                                'rest', named_struct('h', b.h, 'id', b.id, 'size', b.size, 'p', least(1D, b.p + t.down / b.size)))
+                                'rest', named_struct('size', b.size, 'h', b.h, 'id', b.id, 'p', least(1D, b.p + t.down / b.size)))
               else named_struct('done', array_append(acc.done, named_struct('id', b.id, 'size', b.size, 'pick', 1)),
-                                'rest', named_struct('h', acc.rest.h, 'id', acc.rest.id, 'size', acc.rest.size, 'p', greatest(0D, acc.rest.p - t.all / acc.rest.size)))
+                                'rest', named_struct('size', acc.rest.size, 'h', acc.rest.h, 'id', acc.rest.id, 'p', greatest(0D, acc.rest.p - t.all / acc.rest.size)))
             end
           end)[0]
         end)
@@ -94,13 +95,13 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     both = both.withColumn("ratio", F.round(ratio, 12)).withColumn("base", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.col("base"))
     fixed = (F.col("size") == 0) | (F.col("p") == 0)
     out = [both.where(fixed).select(*keys, "id", "size", F.lit(0).alias("pick"))]
-    rest = both.where(~fixed).select(*keys, F.struct(F.xxhash64(F.col("id"), F.col("size"), F.lit(seed)).alias("h"), F.col("id"), F.col("size"), F.col("p")).alias("unit"))
+    rest = both.where(~fixed).select(*keys, F.struct(F.col("size"), F.xxhash64(F.col("id"), F.col("size"), F.lit(seed)).alias("h"), F.col("id"), F.col("p")).alias("unit"))
     most_rows = shares.agg(F.max("n")).first()[0] or 0
     blocks, level = F.col("n"), 0
     while True:
         blocks, level, most_rows = F.ceil(blocks / BLOCK), level + 1, -(-most_rows // BLOCK)
         block = F.pmod(F.xxhash64(F.col("unit.h"), F.lit(level)), blocks)
-        met = rest.groupBy(*keys, block.alias("block")).agg(F.array_sort(F.collect_list("unit")).alias("units"))
+        met = rest.groupBy(*keys, block.alias("block")).agg(F.reverse(F.array_sort(F.collect_list("unit"))).alias("units"))
         fold = F.expr(_FOLD.format(id=kind, unit=_UNIT.format(id=kind), seed=seed * 64 + level))
         folded = scratch.save(met.select(*keys, fold.alias("f")).select(*keys, "f.done", "f.rest"), "folded")
         out.append(folded.select(*keys, F.explode("done").alias("d")).select(*keys, "d.id", "d.size", "d.pick"))
