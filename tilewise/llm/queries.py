@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewise.llm import bpe, mixing, sharding, simhash, suffix_dedup
+from tilewise.llm import bpe, langid, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_sharding": sharding.op2_sharding,
+        "op3_warc": warc.op3_warc,
+        "op5_url_filter": urlfilter.op5_url_filter,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_bpe": bpe.op7_bpe,
         "op9_mixing": mixing.op9_mixing,
+        "op10_langid": langid.op10_langid,
     }
 
 
