@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewise.llm import bpe, langid, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
+from tilewise.llm import bpe, embed_dedup, langid, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op2_sharding": sharding.op2_sharding,
         "op3_warc": warc.op3_warc,
+        "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
         "op5_url_filter": urlfilter.op5_url_filter,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_bpe": bpe.op7_bpe,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.op2_sql()}
+    return {"op2_sharding": sharding.op2_sql(), "op4_embedding_dedup": embed_dedup.OP4_SQL}
