@@ -266,7 +266,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     has already replaces that column. ranks_path is read on the driver and broadcast: a vocabulary is of fixed size.
     Null and empty texts have no tokens. Ids are those of ordinary text; no special tokens. Other columns pass through.
     """
-    out = out or {"tokens": (pa.list_(pa.int32()), "array<int>", lambda ids, c: ids)}
+    out = out or tokens()
     with open(ranks_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     rest = [c for c in df.columns if c not in out]
@@ -288,6 +288,11 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return df.select(*[f"`{c}`" for c in rest], F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
+def tokens() -> dict[str, tuple]:
+    """The column of a text's token ids."""
+    return {"tokens": (pa.list_(pa.int32()), "array<int>", lambda ids, c: ids)}
+
+
 def digests() -> dict[str, tuple]:
     """Columns that stand for a text's tokens and for its bytes as decoded from them."""
     return {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewise.llm import bpe, embed_dedup, langid, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
+from tilewise.llm import ann, bpe, embed_dedup, langid, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": urlfilter.op5_url_filter,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_bpe": bpe.op7_bpe,
+        "op8_ann": ann.op8_ann,
         "op9_mixing": mixing.op9_mixing,
         "op10_langid": langid.op10_langid,
     }
