@@ -1,0 +1 @@
+"""No operator here is a streaming one: order-dependent operators are batch windows and folds."""
