@@ -39,7 +39,7 @@ _POS = np.uint64((1 << 24) - 1)
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<3sQ", a.dtype.str.encode(), a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -313,7 +313,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for a, b in zip(cuts[:-1], cuts[1:]):
                 out = pa.BufferOutputStream()
                 part = batch.take(pa.array(order[a:b]))
-                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
                     w.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([int(home[order[a]])], pa.int32()), pa.nulls(1, pa.binary()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["home", "spans", "rows"])
 
