@@ -15,6 +15,7 @@ character until its rest arrives and turns bytes that cannot be UTF-8 into U+FFF
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 
 import pyarrow as pa
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a table of states, of borders and of pieces holds before it is emptied. Longer pieces aren't kept.
-STATES, BORDERS, PIECES, KEPT_PIECE = 600_000, 600_000, 400_000, 64
-#: Pieces (or characters) of a long text that are held at once.
-PIECE_BLOCK = 1 << 20
+STATES, BORDERS, PIECES, KEPT_PIECE = 200_000, 150_000, 100_000, 64
+#: Pieces (or characters) of a long text that are held at once; rows whose tokens are held at once.
+PIECE_BLOCK, SLICE = 1 << 20, 256
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -103,22 +104,25 @@ class Transducer:
             self.states.append((before, held, lasts, chains, live))
         return self.number[key]
 
+    def _last(self, before: int, text: bytes, lasts: tuple, starts) -> tuple[int, int]:
+        """The last token of the bytes since the border, and where it starts, if it starts at one of ``starts``."""
+        ranks, border_of = self.ranks, self.border
+        for start in starts:
+            token = ranks.get(text[start:])
+            if token is not None:
+                ahead = lasts[start - 1] if start else before
+                fits = True if ahead == -1 else border_of.get(ahead << 20 | token)
+                if self.apart(ahead, token) if fits is None else fits:
+                    return token, start
+        raise ValueError("the ranks lack a byte")
+
     def step(self, state: int, byte: bytes) -> tuple[int, tuple[int, ...]]:
         """From a state by a byte: the next state, and the tokens that became certain."""
         before, held, lasts, chains, live = self.states[state]
-        text, n, ranks, border_of = held + byte, len(held) + 1, self.ranks, self.border
-        last, from_, goes_on = -1, 0, []
-        for start in (*live, n - 1):
-            tail = text[start:]
-            if last == -1:
-                token = ranks.get(tail)
-                if token is not None:
-                    ahead = lasts[start - 1] if start else before
-                    fits = True if ahead == -1 else border_of.get(ahead << 20 | token)
-                    if self.apart(ahead, token) if fits is None else fits:
-                        last, from_ = token, start
-            if tail in self.opens:
-                goes_on.append(start)
+        text, n = held + byte, len(held) + 1
+        live = (*live, n - 1)
+        last, from_ = self._last(before, text, lasts, live)
+        goes_on = [i for i in live if text[i:] in self.opens]
         lasts = (*lasts, last)
         chains = (*chains, (chains[from_ - 1] if from_ else 1) | 1 << n)
         # Every token still to come starts at one of these borders; what all chains back from them share is certain.
@@ -140,11 +144,13 @@ class Transducer:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens of one piece."""
+        """Tokens of one piece. Its last byte needs no next state, so none is made for it."""
+        if not piece:
+            return []
         if len(self.next) >= STATES:
             self._empty()
         out, state, table = [], 0, self.next
-        for byte in piece:
+        for byte in piece[:-1]:
             key = state << 8 | byte
             move = table.get(key)
             if move is None:
@@ -152,8 +158,9 @@ class Transducer:
             state = move[0]
             if move[1]:
                 out += move[1]
-        _, held, lasts, _, _ = self.states[state]
-        return out + self._back(lasts, len(held))
+        before, held, lasts, _, live = self.states[state]
+        text = held + piece[-1:]
+        return out + self._back((*lasts, self._last(before, text, lasts, (*live, len(held)))[0]), len(text))
 
     def _empty(self) -> None:
         self.next, self.number, self.states = {}, {}, []
@@ -274,13 +281,19 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def run(batches):
         c = codec(shared.value, pattern)
-        for b in batches:
-            values = [[] for _ in made]
-            for text in b.column(len(rest)).to_pylist():
-                ids = c.encode(text) if text else []
-                for v, (_, _, f) in zip(values, made):
-                    v.append(f(ids, c))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array(v, t) for v, (_, t, _) in zip(values, made))], names=[*rest, *(k for k, _, _ in made)])
+        collecting = gc.isenabled()
+        gc.disable()  # the tables hold millions of tuples and no cycles
+        try:
+            for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+                values = [[] for _ in made]
+                for text in b.column(len(rest)).to_pylist():
+                    ids = c.encode(text) if text else []
+                    for v, (_, _, f) in zip(values, made):
+                        v.append(f(ids, c))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array(v, t) for v, (_, t, _) in zip(values, made))], names=[*rest, *(k for k, _, _ in made)])
+        finally:
+            if collecting:
+                gc.enable()
 
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
