@@ -101,7 +101,7 @@ def test_trees_learn_what_features_show():
 
 
 def test_held_out_accuracy(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     ruled = U.judge(pages).where("rule is not null").collect()
     rows = [(r.url, r.host, r.path, int(r.verdict == "block")) for r in ruled]
     model = U.train([r for i, r in enumerate(rows) if i % 4])

@@ -153,9 +153,13 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     left = coded.select(F.pmod(F.xxhash64("rep"), F.lit(row_blocks)).cast("int").alias("r"), every(query_blocks).alias("q"), "rep", "code", F.lit(None).cast("array<double>").alias("vec"))
     right = asked.select(every(row_blocks).alias("r"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q"), F.col("id").alias("rep"), F.lit(None).cast("binary").alias("code"), "vec")
 
+    none = pa.table({"query_id": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "s": pa.array([], pa.float32())})
+
     def score(table: pa.Table) -> pa.Table:
         is_row = np.asarray(table.column("code").is_valid())
         rows, ask = table.filter(pa.array(is_row)), table.filter(pa.array(~is_row))
+        if not rows.num_rows or not ask.num_rows:
+            return none
         rep = rows.column("rep").to_numpy()
         order = np.argsort(rep)
         rep = rep[order]
@@ -166,8 +170,6 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
         tables, ids = c.tables(matrix(ask.column("vec"), dim)), ask.column("rep").to_numpy()
         out_q, out_r, out_s = [], [], []
         for i in range(len(ids)):
-            if not len(rep):
-                break
             s = tables[i, 0].take(codes[0])
             for j in range(1, len(codes)):
                 s += tables[i, j].take(codes[j])

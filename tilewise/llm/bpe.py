@@ -23,8 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewise.llm import scratch
+from tilewise.llm.memory import release
+
 #: Entries that a table of states, of borders and of pieces holds before it is emptied. Longer pieces aren't kept.
-STATES, BORDERS, PIECES, KEPT_PIECE = 200_000, 150_000, 100_000, 64
+STATES, BORDERS, PIECES, KEPT_PIECE = 160_000, 100_000, 100_000, 64
 #: Pieces (or characters) of a long text that are held at once; rows whose tokens are held at once.
 PIECE_BLOCK, SLICE = 1 << 20, 256
 
@@ -276,10 +279,11 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     out = out or tokens()
     with open(ranks_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in df.columns if c not in out]
+    rest, own = scratch.others(df, out), scratch.prefix(df)
     made = [(k, t, f) for k, (t, _, f) in out.items()]
 
     def run(batches):
+        release()
         c = codec(shared.value, pattern)
         collecting = gc.isenabled()
         gc.disable()  # the tables hold millions of tuples and no cycles
@@ -298,7 +302,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     schema = StructType([df.schema[c] for c in rest] + [StructField(k, _parse_datatype_string(t), True) for k, (_, t, _) in out.items()])
-    return df.select(*[f"`{c}`" for c in rest], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in rest], F.col(text_col).alias(f"{own}text")).mapInArrow(run, schema)
 
 
 def tokens() -> dict[str, tuple]:

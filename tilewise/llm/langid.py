@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewise.llm import scratch
+
 #: Training texts a language (expected number), hashed trigrams, what a count is raised by, the penalty of a switch,
 #: the share of a language's letters from which a script counts as its own, the cost of a word in another script.
 SAMPLE, BUCKETS, RAISE, SWITCH, OWN_SCRIPT, FOREIGN = 2000, 1 << 16, 0.05, 12.0, 0.01, 25.0
@@ -161,7 +163,7 @@ class Model:
         path = self.paths(score, np.bincount(doc, minlength=len(texts))) if self.langs else np.zeros(len(doc), np.int16)
         weight = np.bincount(doc * max(1, len(self.langs)) + path, letters, len(texts) * max(1, len(self.langs))).reshape(len(texts), -1)
         new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
-        last = np.append(new[1:], len(doc)) - 1
+        last = np.append(new[1:], len(doc))[: len(new)] - 1
         spans: list[list] = [[] for _ in texts]
         if self.langs:
             for d, a, e, l in zip(doc[new].tolist(), start[new].tolist(), end[last].tolist(), path[new].tolist()):
@@ -213,7 +215,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     """
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.table, model.bar))
     made = {lang_out: "string", score_out: "double"} | ({"spans": "array<struct<start:int,end:int,lang:string>>"} if spans else {})
-    rest = [c for c in df.columns if c not in made]
+    rest, own = scratch.others(df, made), scratch.prefix(df)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
@@ -235,7 +237,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     schema = StructType([df.schema[c] for c in rest] + [StructField(k, _parse_datatype_string(t)) for k, t in made.items()])
-    return df.select(*[f"`{c}`" for c in rest], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in rest], F.col(text_col).alias(f"{own}text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

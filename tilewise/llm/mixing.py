@@ -122,13 +122,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Rows that share an id get the counts of that id in the order of their sizes. Rows with a null id are matched among
     themselves likewise.
     """
+    own = scratch.prefix(df)
+    id_, key, size, n, list_ = (f"{own}{x}" for x in ("id", "key", "size", "n", "counts"))
     counts = copies(df, id_col, text_col, source_col, **how)
-    lists = counts.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias("_counts"))
-    order = Window.partitionBy("_key").orderBy("_size")
-    key = df.select("*", F.col(id_col).alias("_key"), words(text_col).alias("_size")).withColumn("_n", F.row_number().over(order))
-    both = key.join(lists, F.col("_key").eqNullSafe(F.col("_id")))
-    taken = both.withColumn("_copies", F.element_at("_counts", F.col("_n"))["copies"]).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in df.columns])
+    lists = counts.groupBy(F.col(id_col).alias(id_)).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias(list_))
+    keyed = df.select("*", F.col(id_col).alias(key), words(text_col).alias(size)).withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(size)))
+    both = keyed.join(lists, F.col(key).eqNullSafe(F.col(id_)))
+    taken = both.withColumn(n, F.element_at(list_, F.col(n))["copies"]).where(F.col(n) > 0)
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[f"`{c}`" for c in df.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

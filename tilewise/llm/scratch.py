@@ -16,6 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 _roots: dict[str, str] = {}
 
 
+def prefix(df: DataFrame) -> str:
+    """What no column name of df begins with, for names of one's own beside them."""
+    out = "_"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
+def others(df: DataFrame, made) -> list[str]:
+    """df's columns but for those that made columns replace; names differ by more than case."""
+    new = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in new]
+
+
 def root(spark: SparkSession) -> str:
     """This application's folder for intermediate tables."""
     app = spark.sparkContext.applicationId

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewise.llm import scratch
+
 #: Slots (a prime, much above the number of shards), and shards of the registered query.
 SLOTS, SHARDS = 65537, tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -54,12 +56,14 @@ def place(df: DataFrame, key: str | Column, shards: Sequence[str] = SHARDS, slot
 
     Equal keys and repeated rows go to one shard; null and empty keys to one as well. An empty table stays empty.
     """
-    filled = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")).alias("_slot", "_k"))
+    own = scratch.prefix(df)
+    slot, shard = f"{own}slot", f"{own}shard"
+    filled = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")).alias(slot, "k"))
     names = F.array(*[F.lit(s) for s in shards])
-    filled = filled.select(F.col("_slot").cast("bigint"), F.element_at(names, F.col("_k").cast("int") + 1).alias("_shard"))
-    rest = [c for c in df.columns if c not in (slot_col, shard_col)]
-    keyed = df.select(*[df[f"`{c}`"] for c in rest], slot_of(key, slots).alias("_slot"))
-    return keyed.join(F.broadcast(filled), "_slot").select(*[f"`{c}`" for c in rest], F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col))
+    filled = filled.select(F.col(slot).cast("bigint").alias(slot), F.element_at(names, F.col("k").cast("int") + 1).alias(shard))
+    rest = scratch.others(df, (slot_col, shard_col))
+    keyed = df.select(*[df[f"`{c}`"] for c in rest], slot_of(key, slots).alias(slot))
+    return keyed.join(F.broadcast(filled), slot).select(*[f"`{c}`" for c in rest], F.col(slot).alias(slot_col), F.col(shard).alias(shard_col))
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

@@ -27,30 +27,56 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewise.llm import scratch
+from tilewise.llm.memory import release
+
 #: Bytes of the gram that names a window; a difference cover modulo V, and V.
 GRAM = 16
 COVER, V = (0, 1, 2, 5, 8), 16
-#: Bytes of text in a chunk of a task, bytes in a bucket of stretches, bytes of text in a bucket of documents, windows sorted at once.
-CHUNK, BUCKET, DOCS, SORTED = 1 << 23, 1 << 24, 1 << 24, 1 << 19
+#: Bytes of text in a chunk of a task, windows named at once, bytes in a bucket of stretches, bytes of text in a bucket of documents, windows sorted at once.
+CHUNK, PART, BUCKET, DOCS, SORTED = 1 << 23, 1 << 20, 3 << 22, 1 << 24, 1 << 18
+#: Texts, and characters of each, that a dictionary for compression is made of: half a megabyte or so.
+SAMPLE, SAMPLE_TEXT = 300, 2000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _POS = np.uint64((1 << 24) - 1)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value."""
-    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<3sQ", a.dtype.str.encode(), a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(a.tobytes() for a in arrays))
+class Packer:
+    """Arrays as one compressed value. Values are small where buckets are many, so a sample of the texts serves as their dictionary."""
 
+    def __init__(self, sample: bytes = b""):
+        table = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(sample) >= 8 else None
+        if table:
+            table.precompute_compress(level=6)
+        self.writer = zstandard.ZstdCompressor(level=6, dict_data=table)
+        self.reader = zstandard.ZstdDecompressor(dict_data=table)
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 1 + 11 * raw[0]
-    for i in range(raw[0]):
-        kind, size = struct.unpack_from("<3sQ", raw, 1 + 11 * i)
-        kind = np.dtype(kind.decode())
-        out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
-        at += size
-    return out
+    def pack(self, *arrays: np.ndarray) -> bytes:
+        head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<3sQ", a.dtype.str.encode(), a.nbytes) for a in arrays)
+        return self.writer.compress(head + b"".join(a.tobytes() for a in arrays))
+
+    def unpack(self, blob: bytes) -> list[np.ndarray]:
+        raw = self.reader.decompress(blob)
+        out, at = [], 1 + 11 * raw[0]
+        for i in range(raw[0]):
+            kind, size = struct.unpack_from("<3sQ", raw, 1 + 11 * i)
+            kind = np.dtype(kind.decode())
+            out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
+            at += size
+        return out
+
+
+PLAIN = Packer()
+_packers: dict[bytes, Packer] = {}
+
+
+def _packer(sample: bytes) -> Packer:
+    """The packer of a sample; a process keeps a few."""
+    if sample not in _packers:
+        if len(_packers) > 3:
+            _packers.clear()
+        _packers[sample] = Packer(sample)
+    return _packers[sample]
 
 
 def _delta(x: np.ndarray) -> np.ndarray:
@@ -67,23 +93,14 @@ def _load(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(raw: bytes, bounds: np.ndarray, length: int):
-    """Runs of windows with one minimizer: first window, last window, the gram's place, its hash; no run leaves a document.
-
-    bounds: where each document starts in raw, and its end.
-    """
-    text = np.frombuffer(raw, np.uint8)
-    empty = np.zeros(0, np.int64)
-    if len(text) < length:
-        return empty, empty, empty, empty
+def _keys(text: np.ndarray, length: int) -> np.ndarray:
+    """For each window of text: the least hash of its grams in the high bits, the gram's place (leftmost) in the low 24."""
     w2 = text[:-1].astype(np.uint16) | (text[1:].astype(np.uint16) << np.uint16(8))
     w4 = w2[:-2].astype(np.uint32) | (w2[2:].astype(np.uint32) << np.uint32(16))
     w8 = w4[:-4].astype(np.uint64) | (w4[4:].astype(np.uint64) << np.uint64(32))
-    del w2, w4
     key = w8[:-8] * _A
     key ^= key >> np.uint64(29)
     key += w8[8:] * _B
-    del w8
     key ^= key >> np.uint64(32)
     key *= _C
     key &= ~_POS
@@ -93,18 +110,31 @@ def stretches(raw: bytes, bounds: np.ndarray, length: int):
         step = min(have, span - have)
         key = np.minimum(key[:-step], key[step:])
         have += step
-    crossing = (bounds[1:-1, None] - np.arange(1, length)).reshape(-1)
-    crossing = crossing[(crossing >= 0) & (crossing < len(key))]
-    key[crossing] = np.uint64(2**64 - 1)
-    first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-    last = np.append(first[1:], len(key)) - 1
-    key = key[first]
-    real = key != np.uint64(2**64 - 1)
-    first, last, key = first[real], last[real], key[real]
-    return first, last, (key & _POS).astype(np.int64), key >> np.uint64(24)
-
-
-def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int):
+    return key
+
+
+def stretches(raw: bytes, bounds: np.ndarray, length: int):
+    """Runs of windows with one minimizer: first window, last window, the gram's place, its hash; no run leaves a document.
+
+    bounds: where each document starts in raw, and its end. Keys are made for a part of the text at a time.
+    """
+    text, none = np.frombuffer(raw, np.uint8), np.uint64(2**64 - 1)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for lo in range(0, len(text) - length + 1, PART):
+        key = _keys(text[lo : lo + PART + length - 1], length)
+        near = bounds[1:-1][np.searchsorted(bounds[1:-1], lo) : np.searchsorted(bounds[1:-1], lo + len(key) + length)]
+        crossing = (near[:, None] - lo - np.arange(1, length)).reshape(-1)
+        key[crossing[(crossing >= 0) & (crossing < len(key))]] = none
+        first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        last = np.append(first[1:], len(key)) - 1
+        key = key[first]
+        real = key != none
+        first, last, key = first[real], last[real], key[real]
+        parts.append((first + lo, last + lo, (key & _POS).astype(np.int64) + lo, key >> np.uint64(24)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int, packer: Packer = PLAIN):
     """(bucket, blob) of a chunk of documents: its distinct stretches, where the earliest document has them, and spans of later ones."""
     docs.sort(key=lambda d: d[0])
     raw = b"".join(d[1] for d in docs)
@@ -128,7 +158,7 @@ def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int):
         least[code[::-1]], at[code[::-1]] = d[::-1], np.arange(hi - lo)[::-1]
         keep = d == least[code]
         place = (gram - first)[lo:hi][at].astype(np.uint8)
-        yield int(bucket[lo]), _pack(
+        yield int(bucket[lo]), packer.pack(
             np.frombuffer(b"".join(seen), np.uint8), n[at].astype(np.uint8), place, _delta(least),
             _delta(code[keep]).astype(np.int32), o[keep].astype(np.uint32), _delta(d[~keep]), o[~keep].astype(np.uint32), n[~keep].astype(np.uint8),
         )
@@ -163,8 +193,11 @@ def repeated(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.
     slot = -(-(lead + sizes) // V) * V
     base = np.cumsum(slot) - slot
     laid = np.zeros(int(slot.sum()) + 8 * V, np.uint8)
-    k = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    laid[np.repeat(base + lead, sizes) + k] = text[np.repeat(starts, sizes) + k]
+    for lo in range(0, len(sizes), SORTED // 8):  # some stretches at a time
+        some = slice(lo, lo + SORTED // 8)
+        n = sizes[some]
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        laid[np.repeat((base + lead)[some], n) + k] = text[np.repeat(starts[some], n) + k]
     sample = (np.arange(0, len(laid) - 2 * V, V)[:, None] + np.array(COVER)).reshape(-1)
     rank = _ranks(laid, sample, length)
     # from each class, the distance to the cover and the cover's number in its row
@@ -198,11 +231,11 @@ def repeated(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.
     return flag
 
 
-def _bucket(blobs, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket(blobs, length: int, packer: Packer = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, start, end) to remove that the stretches of one bucket show."""
     texts, sizes, places, docs, codes, offs, spans, shift = [], [], [], [], [], [], [], 0
     for blob in blobs:
-        text, size, place, doc, code, off, d, o, n = _unpack(blob)
+        text, size, place, doc, code, off, d, o, n = packer.unpack(blob)
         texts.append(text)
         sizes.append(size.astype(np.int64))
         places.append(place.astype(np.int64))
@@ -270,7 +303,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if not GRAM <= length <= 200:
         raise ValueError("length must be from 16 to 200 bytes")
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    names = df.columns
+    where, own = names.index(text_col), scratch.prefix(df)
+    size, count = df.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
+    size = size or 0
+    # Only for compression: the beginnings of SAMPLE texts or so, chosen by a hash.
+    drawn = df.where(F.shiftrightunsigned(F.xxhash64(id_col, F.lit("sample")), 11) * F.lit(2.0**-53) < SAMPLE / max(1, count))
+    some = drawn.select(F.substring(text_col, 1, SAMPLE_TEXT)).limit(2 * SAMPLE).collect()
+    sample = df.sparkSession.sparkContext.broadcast("".join(r[0] or "" for r in some).encode("utf-8", "surrogatepass"))
     buckets, homes = max(12, 4 * size // BUCKET), max(12, size // DOCS)
 
     def cut(batches):
@@ -288,25 +328,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     docs.append((doc, part, at))
                     held += len(part)
         yield from emit(docs)
+        del docs
+        release()
 
     def emit(docs):
-        rows = list(_parts(docs, length, buckets)) if docs else []
+        rows = list(_parts(docs, length, buckets, _packer(sample.value))) if docs else []
         for i in range(0, len(rows), 256):
             part = rows[i : i + 256]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["bucket", "blob"])
 
     def sort(table: pa.Table) -> pa.Table:
-        doc, start, end = _bucket((x.as_py() for x in table.column("blob")), length)
+        doc, start, end = _bucket((x.as_py() for x in table.column("blob")), length, _packer(sample.value))
+        release()
         home = _home(doc, homes)
         order = np.lexsort((start, doc, home))
         doc, start, end, home = doc[order], start[order], end[order], home[order]
         cuts = np.concatenate([[0], np.flatnonzero(home[1:] != home[:-1]) + 1, [len(home)]]) if len(home) else np.zeros(1, np.int64)
-        blobs = [_pack(_delta(doc[a:b]), start[a:b].astype(np.uint32), end[a:b].astype(np.uint32)) for a, b in zip(cuts[:-1], cuts[1:])]
+        blobs = [_packer(b"").pack(_delta(doc[a:b]), start[a:b].astype(np.uint32), end[a:b].astype(np.uint32)) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({"home": pa.array(home[cuts[:-1]].astype(np.int32), pa.int32()), "spans": pa.array(blobs, pa.binary()), "rows": pa.nulls(len(blobs), pa.binary())})
 
     def deal(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.names.index("_id"))
+            ids = batch.column(len(names))
             home = _home(ids.fill_null(0).to_numpy(zero_copy_only=False), homes)
             order = np.argsort(home, kind="stable")
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(home[order].astype(np.int64))) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
@@ -317,9 +360,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     w.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([int(home[order[a]])], pa.int32()), pa.nulls(1, pa.binary()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["home", "spans", "rows"])
 
-    names = df.columns
-    where = names.index(text_col)
-
     def rows(batch, kept, spans):
         text = [None if t is None else k.decode("utf-8", "replace") for t, k in zip(batch.column(where).to_pylist(), kept)]
         return pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if i == where else batch.column(i) for i in range(len(names))], names=names)
@@ -327,7 +367,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     finish = finish or rows
 
     def merge(table: pa.Table) -> pa.Table:
-        found = [_unpack(x.as_py()) for x in table.column("spans") if x.is_valid]
+        found = [_packer(b"").unpack(x.as_py()) for x in table.column("spans") if x.is_valid]
         by: dict[int, tuple] = {}
         if found:
             doc, start, end = (np.concatenate(x) for x in zip(*((np.cumsum(d), s.astype(np.int64), e.astype(np.int64)) for d, s, e in found)))
@@ -341,7 +381,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 continue
             for batch in pa.ipc.open_stream(blob.as_buffer()):
                 kept, spans = [], []
-                for doc, text in zip(batch.column(batch.schema.names.index("_id")).to_pylist(), batch.column(where).to_pylist()):
+                for doc, text in zip(batch.column(len(names)).to_pylist(), batch.column(where).to_pylist()):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     pairs, at, parts = [], 0, []
                     for s, e in zip(*(x.tolist() for x in by[doc])) if doc in by else ():
@@ -362,19 +402,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty = to_arrow_schema(kind).empty_table()
     ids = F.col(id_col).cast("bigint")
     spans = df.select(ids.alias("d"), text_col).mapInArrow(cut, "bucket int, blob binary").groupBy("bucket").applyInArrow(sort, "home int, spans binary, rows binary")
-    dealt = df.select("*", ids.alias("_id")).mapInArrow(deal, "home int, spans binary, rows binary")
+    dealt = df.select("*", ids.alias(f"{own}id")).mapInArrow(deal, "home int, spans binary, rows binary")
     return spans.union(dealt).groupBy("home").applyInArrow(merge, schema)
 
 
-def _parts(docs: list[tuple[int, bytes, int]], length: int, buckets: int):
+def _parts(docs: list[tuple[int, bytes, int]], length: int, buckets: int, packer: Packer = PLAIN):
     """As _chunk, for parts of documents; each part's offset is added to its spans' places."""
     if all(at == 0 for _, _, at in docs):
-        yield from _chunk([(d, raw) for d, raw, _ in docs], length, buckets)
+        yield from _chunk([(d, raw) for d, raw, _ in docs], length, buckets, packer)
         return
     for d, raw, at in docs:
-        for bucket, blob in _chunk([(d, raw)], length, buckets):
-            x = _unpack(blob)
-            yield bucket, _pack(*x[:5], x[5] + np.uint32(at), *x[6:])
+        for bucket, blob in _chunk([(d, raw)], length, buckets, packer):
+            x = packer.unpack(blob)
+            yield bucket, packer.pack(*x[:5], x[5] + np.uint32(at), *x[6:])
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewise.llm import scratch
+
 #: Labelled URLs to learn from, trees, depth, bins of a feature, rate, rows of a leaf at least, what counts of suffixes are smoothed by, suffixes kept.
 SAMPLE, TREES, DEPTH, BINS, RATE, LEAF, SMOOTH, SUFFIXES = 20_000, 40, 3, 32, 0.2, 5, 4.0, 20_000
 #: (verdict, host, path) of the registered query.
@@ -154,12 +156,13 @@ def judge(df: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str, s
     the verdict is a coin's constant: allow. An empty table stays empty. Other columns pass through.
     """
     new = ("host", "path", "rule", "verdict", "score")
-    rest = [c for c in df.columns if c not in new]
-    url = F.col(url_col)
-    parts = df.select(*[f"`{c}`" for c in rest], F.coalesce(url, F.lit("")).alias("_url"), host_of(url_col).alias("_host"), path_of(url_col).alias("_path"))
-    ruled = parts.withColumn("_r", rule_of(F.col("_host"), F.col("_path"), rules))
-    known = ruled.where("_r is not null").select("_url", "_host", "_path", (F.col("_r.verdict") == "block").cast("int").alias("_y"))
-    if labelled is not None:
+    rest, own = scratch.others(df, new), scratch.prefix(df)
+    url, names = F.coalesce(F.col(url_col), F.lit("")), [f"{own}{x}" for x in ("url", "host", "path")]
+    parts = df.select(*[f"`{c}`" for c in rest], *(c.alias(n) for c, n in zip((url, host_of(url_col), path_of(url_col)), names)))
+    ruled = parts.withColumn(f"{own}r", rule_of(F.col(names[1]), F.col(names[2]), rules))
+    if labelled is None:
+        known = ruled.where(F.col(f"{own}r").isNotNull()).select(*(F.col(n).alias(k) for n, k in zip(names, ("_url", "_host", "_path"))), (F.col(f"{own}r.verdict") == "block").cast("int").alias("_y"))
+    else:
         known = labelled.where("url is not null and label is not null").select(F.col("url").alias("_url"), host_of("url").alias("_host"), path_of("url").alias("_path"), F.col("label").cast("int").alias("_y"))
     total = known.count()
     drawn = known

@@ -96,7 +96,7 @@ class Writer:
             table = zstandard.ZstdCompressionDict(b"".join(self.held)[:DICT].ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.fs.create_dir(self.folder, recursive=True)
         self.name, self.n = f"{self.folder}/{uuid.uuid4().hex}.warc.zst", 0
-        self.out = self.fs.open_output_stream(self.name)
+        self.out = self.fs.open_output_stream(self.name, compression=None)
         data = table.as_bytes()
         self.out.write(struct.pack("<II", DICT_MAGIC, len(data)) + data)
         self.zstd = zstandard.ZstdCompressor(level=3, dict_data=table, write_content_size=True)
@@ -119,7 +119,7 @@ class Writer:
 
 def read(fs: pafs.FileSystem, name: str) -> Iterator[bytes]:
     """The records of one archive in turn; one is in memory at a time."""
-    with fs.open_input_stream(name, buffer_size=1 << 20) as f:
+    with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != DICT_MAGIC:
             raise ValueError(f"{name}: no dictionary frame")
