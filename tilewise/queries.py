@@ -53,24 +53,24 @@ def _cos(a: str, b: str) -> str:
 _ROWS = "base AS (SELECT label AS layer, vec_id AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _PREFIX = f"""{_ROWS}, masked AS (SELECT k, layer, v, {_mask("k")} AS m FROM base, (SELECT unnest([1, 5, 10, 15, 20, 25]) AS k)),
     sims AS (SELECT k, layer, avg({_cos("m", "v")}) AS sim, count(*) AS n FROM masked GROUP BY k, layer)"""
-_INCREMENTAL = f"""{_ROWS}, masked AS (SELECT k, layer, {_mask("k - 1")} AS p, {_mask("k")} AS m FROM base, (SELECT unnest(range(2, 26)) AS k)),
+_INCREMENTAL = f"""{_ROWS}, masked AS (SELECT k, layer, {_mask("k - 1")} AS p, {_mask("k")} AS m FROM base, (SELECT CAST(unnest(range(2, 26)) AS INTEGER) AS k)),
     sims AS (SELECT k, layer, avg({_cos("p", "m")}) AS sim, count(*) AS n FROM masked GROUP BY k, layer)"""
 _SAMPLE = """sample AS (
         SELECT k, trial, idx FROM (
             SELECT k, trial, idx, row_number() OVER (PARTITION BY k, trial ORDER BY md5(concat_ws('-', k, trial, idx)), idx) AS n
-            FROM (SELECT unnest([1, 5, 10, 15, 20]) AS k), (SELECT unnest(range(0, 10)) AS trial), (SELECT unnest(range(0, 25)) AS idx))
+            FROM (SELECT unnest([1, 5, 10, 15, 20]) AS k), (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS trial), (SELECT CAST(unnest(range(0, 25)) AS INTEGER) AS idx))
         WHERE n <= k)"""
 _SETS = _SAMPLE + ", sets AS (SELECT k, trial, list(idx) AS tiles FROM sample GROUP BY k, trial)"
 _KEEP = "list_transform(v, lambda x, i: CASE WHEN (i - 1) // 8 < 5 AND (i - 1) % 8 < 5 AND list_contains(tiles, ((i - 1) // 8) * 5 + (i - 1) % 8) THEN x ELSE 0.0 END)"
 _TRIALS = f"""{_ROWS}, {_SETS}, kept AS (SELECT k, trial, layer, v, {_KEEP} AS m FROM base, sets),
     sims AS (SELECT k, trial, layer, avg({_cos("m", "v")}) AS sim FROM kept GROUP BY k, trial, layer)"""
 _KV = f"""{_ROWS}, numbered AS (SELECT layer, v, row_number() OVER (PARTITION BY layer ORDER BY pos) AS pos FROM base),
-    masked AS (SELECT k, layer, pos, {_mask("k")} AS m FROM numbered, (SELECT unnest(range(1, 26)) AS k) WHERE pos <= 20 + k),
+    masked AS (SELECT k, layer, pos, {_mask("k")} AS m FROM numbered, (SELECT CAST(unnest(range(1, 26)) AS INTEGER) AS k) WHERE pos <= 20 + k),
     cache AS (SELECT k, layer, pos, list_filter(m, lambda x, i: i % 2 = 1) AS key, list_filter(m, lambda x, i: i % 2 = 0) AS value FROM masked),
     sims AS (SELECT c.k, c.layer, avg({_cos("p.key", "c.key")}) AS key_sim, avg({_cos("p.value", "c.value")}) AS value_sim, count(*) AS n
              FROM cache c JOIN cache p ON p.k = c.k - 1 AND p.layer = c.layer AND p.pos = c.pos GROUP BY c.k, c.layer)"""
 _REQUESTS = """burst AS (SELECT event_id AS req_id, epoch_us(date_trunc('day', ts)) // 86400000000 AS day, epoch_us(ts) / 1e6 AS t0, value FROM events),
-    arrived AS (SELECT req_id, day, min(t0) OVER (PARTITION BY day) AS arrival_time, value, (row_number() OVER (PARTITION BY day ORDER BY req_id) - 1) // 16 AS batch FROM burst),
+    arrived AS (SELECT req_id, day, min(t0) OVER (PARTITION BY day) AS arrival_time, value, CAST((row_number() OVER (PARTITION BY day ORDER BY req_id) - 1) // 16 AS INTEGER) AS batch FROM burst),
     served AS (SELECT day, batch, max(value) AS service FROM arrived GROUP BY day, batch),
     waited AS (SELECT day, batch, service, 1.01 * coalesce(sum(service) OVER (PARTITION BY day ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wait FROM served),
     timed AS (SELECT req_id, day, batch, arrival_time, arrival_time + wait AS start_time, arrival_time + wait + service * 0.01 AS first_token_time, arrival_time + wait + service * 0.01 + service AS end_time
@@ -97,7 +97,7 @@ def saturation_curve(spark, sf_dir):
 
 
 @query("""
-    WITH sized AS (SELECT p_partkey AS image_id, (p_size + 10) // 5 AS tw, (p_size % 7 + 8) // 5 AS th FROM part), grid AS (SELECT unnest(range(0, 25)) AS idx)
+    WITH sized AS (SELECT p_partkey AS image_id, (p_size + 10) // 5 AS tw, (p_size % 7 + 8) // 5 AS th FROM part), grid AS (SELECT CAST(unnest(range(0, 25)) AS INTEGER) AS idx)
     SELECT image_id, idx, idx // 5 AS r, idx % 5 AS c, (idx % 5) * tw AS "left", (idx // 5) * th AS upper, (idx % 5 + 1) * tw AS "right", (idx // 5 + 1) * th AS lower FROM sized, grid
 """)
 def tile_grid(spark, sf_dir):
@@ -107,7 +107,7 @@ def tile_grid(spark, sf_dir):
 
 @query(f"""
     WITH {_ROWS}, masked AS (SELECT k, pos, {_mask("k")} AS m FROM base, (SELECT unnest([0, 1, 5, 10, 15, 20, 25]) AS k))
-    SELECT k, pos AS vec_id, len(list_filter(m, lambda x: x <> 0)) AS kept, round(list_sum(m), 6) AS total FROM masked
+    SELECT k, pos AS vec_id, CAST(len(list_filter(m, lambda x: x <> 0)) AS INTEGER) AS kept, round(list_sum(m), 6) AS total FROM masked
 """)
 def prefix_mask(spark, sf_dir):
     rows = _embeddings(spark, sf_dir).select("vec_id", "embedding", F.explode(F.array(*[F.lit(k) for k in (0, *X.PREFIXES)])).alias("k"))
@@ -126,7 +126,7 @@ def tile_sample(spark, sf_dir):
 
 @query(f"""
     WITH {_ROWS}, {_SETS}, kept AS (SELECT k, trial, pos, {_KEEP} AS m FROM base, sets)
-    SELECT k, trial, pos AS vec_id, len(list_filter(m, lambda x: x <> 0)) AS kept, round(list_sum(m), 6) AS total FROM kept
+    SELECT k, trial, pos AS vec_id, CAST(len(list_filter(m, lambda x: x <> 0)) AS INTEGER) AS kept, round(list_sum(m), 6) AS total FROM kept
 """)
 def random_mask(spark, sf_dir):
     sets = tiles.tile_sets(tiles.tile_sample(spark, X.SAMPLED))
@@ -287,7 +287,7 @@ def greedy_chunks(spark, sf_dir):
 
 @query("""
     WITH tile AS (SELECT vec_id // 10 AS image_id, vec_id AS t, embedding[1:4] AS v FROM embeddings), j AS (SELECT image_id, flatten(list(v ORDER BY t)) AS v FROM tile GROUP BY image_id)
-    SELECT image_id, len(v) AS n, round(list_sum(list_transform(v, lambda x, i: CAST(x AS DOUBLE) * i)), 5) AS checksum FROM j
+    SELECT image_id, CAST(len(v) AS INTEGER) AS n, round(list_sum(list_transform(v, lambda x, i: CAST(x AS DOUBLE) * i)), 5) AS checksum FROM j
 """)
 def concat_tiles(spark, sf_dir):
     parts = _embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("image_id"), "vec_id", F.slice("embedding", 1, 4).alias("v"))
@@ -298,7 +298,7 @@ def concat_tiles(spark, sf_dir):
 
 @query("""
     WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS tokens FROM conversations), p AS (SELECT conv_id, turn, tokens, max(len(tokens)) OVER (PARTITION BY conv_id) AS longest FROM t)
-    SELECT conv_id, turn, longest AS padded, len(tokens) AS mask_sum, CASE WHEN len(tokens) < longest THEN '<pad>' ELSE tokens[len(tokens)] END AS last_token FROM p
+    SELECT conv_id, turn, CAST(longest AS INTEGER) AS padded, CAST(len(tokens) AS INTEGER) AS mask_sum, CASE WHEN len(tokens) < longest THEN '<pad>' ELSE tokens[len(tokens)] END AS last_token FROM p
 """)
 def pad_batch(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), " ").alias("tokens"))
