@@ -362,6 +362,22 @@ def _quality(spark, sf_dir) -> DataFrame:
     return each.select("doc_id", "k", "tokens", F.slice("tokens", 1, 4 * F.col("k")).alias("candidate"))
 
 
+@query("""
+    WITH runs AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'chunked' END AS method, event_id, ts, event_type, value FROM events),
+    numbered AS (SELECT method, value, row_number() OVER (PARTITION BY method ORDER BY ts, event_id) AS n FROM runs WHERE event_type = 'purchase'),
+    timed AS (SELECT method, count(*) AS n, avg(value) * 1000 AS mean_ms FROM numbered WHERE n > 1 GROUP BY method),
+    reset AS (SELECT method, max(ts) AS last FROM runs WHERE event_type = 'signup' GROUP BY method),
+    peak AS (SELECT r.method, max(value) * 1e7 / 1073741824 AS peak_gib FROM runs r LEFT JOIN reset USING (method) WHERE event_type <> 'signup' AND (last IS NULL OR ts >= last) GROUP BY r.method)
+    SELECT method, n, round(mean_ms, 4) AS mean_ms, round(peak_gib, 6) AS peak_gib FROM timed LEFT JOIN peak USING (method)
+""")
+def method_comparison(spark, sf_dir):
+    """Mean time after warm-up and peak memory since the last reset, by method; even users stand for one, odd for the other."""
+    runs = _table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "value").withColumn("method", F.when(F.col("user_id") % 2 == 0, "baseline").otherwise("chunked"))
+    timed = timing.timing_summary(runs.where("event_type = 'purchase'").withColumnRenamed("value", "elapsed_s"), ["method"], ["ts", "event_id"])
+    peak = timing.peak_since_reset(runs, ["method"], F.col("event_type") == "signup", value="value")
+    return timed.join(peak, "method", "left").select("method", "n", *_r("mean_ms", digits=4), F.round(F.col("peak") * 1e7 / 2**30, 6).alias("peak_gib"))
+
+
 #: A prefix is a common subsequence as long as itself, so these scores need no table.
 _PREFIX_SCORES = f"""t AS (SELECT doc_id, {_TOKENS}[1:100] AS tokens FROM documents), p AS (SELECT doc_id, k, len(tokens) AS n, least(len(tokens), 4 * k) AS m FROM t, (SELECT unnest([5, 10, 15, 20, 25]) AS k)),
     s AS (SELECT doc_id, k, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * m / (n + m) END AS f1 FROM p)"""
