@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewise.llm import scratch
-from tilewise.llm.memory import release
+from tilewise.llm.memory import CACHES, release
 
 #: Entries that a table of states, of borders and of pieces holds before it is emptied. Longer pieces aren't kept.
-STATES, BORDERS, PIECES, KEPT_PIECE = 160_000, 100_000, 100_000, 64
+STATES, BORDERS, PIECES, KEPT_PIECE = 260_000, 150_000, 160_000, 64
 #: Pieces (or characters) of a long text that are held at once; rows whose tokens are held at once.
 PIECE_BLOCK, SLICE = 1 << 20, 256
 
@@ -258,6 +258,7 @@ class Codec:
 
 
 _codecs: dict[tuple, Codec] = {}
+CACHES.append(_codecs)
 
 
 def codec(ranks: bytes, pattern: str) -> Codec:
@@ -269,6 +270,12 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def codec_for_task(ranks: bytes, pattern: str) -> Codec:
+    """The codec, after other operators' tables are gone."""
+    release(_codecs)
+    return codec(ranks, pattern)
+
+
 def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: dict[str, tuple] | None = None) -> DataFrame:
     """df with columns made from the tokens of each whole text.
 
@@ -283,8 +290,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     made = [(k, t, f) for k, (t, _, f) in out.items()]
 
     def run(batches):
-        release()
-        c = codec(shared.value, pattern)
+        c = codec_for_task(shared.value, pattern)
         collecting = gc.isenabled()
         gc.disable()  # the tables hold millions of tuples and no cycles
         try:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewise.llm import scratch
+from tilewise.llm.memory import release
 
 #: Training texts a language (expected number), hashed trigrams, what a count is raised by, the penalty of a switch,
 #: the share of a language's letters from which a script counts as its own, the cost of a word in another script.
@@ -219,6 +220,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
+        release()
         m = Model.__new__(Model)
         m.langs, m.table, m.bar = shared.value
         for b in batches:

@@ -7,9 +7,18 @@ import gc
 
 import pyarrow as pa
 
+#: Tables that modules keep between tasks of one operator.
+CACHES: list[dict] = []
 
-def release() -> None:
-    """Return what allocators hold free. Workers live on between tasks and stages, beside a JVM in one container."""
+
+def release(but: dict | None = None) -> None:
+    """Empty the tables of other operators and return what allocators hold free.
+
+    Workers live on between tasks and stages, beside a JVM in one container.
+    """
+    for table in CACHES:
+        if table is not but:
+            table.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

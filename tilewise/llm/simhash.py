@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tilewise.llm import scratch
 from tilewise.llm.components import components, hook
+from tilewise.llm.memory import release
 
 #: Bits of a step between cuts, leaves of a node before it is cut again, node pairs walked at once.
 STEP, NODE, BLOCK = 6, 1 << 17, 1 << 19
@@ -68,6 +69,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fp) a row; fp is the fingerprint's 64 bits as a signed bigint. Null and empty texts have 0."""
 
     def run(batches):
+        release()
         for b in batches:
             fp = np.array([simhash(t, shingle, seed) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])

@@ -35,8 +35,8 @@ GRAM = 16
 COVER, V = (0, 1, 2, 5, 8), 16
 #: Bytes of text in a chunk of a task, windows named at once, bytes in a bucket of stretches, bytes of text in a bucket of documents, windows sorted at once.
 CHUNK, PART, BUCKET, DOCS, SORTED = 1 << 23, 1 << 20, 3 << 22, 1 << 24, 1 << 18
-#: Texts, and characters of each, that a dictionary for compression is made of: half a megabyte or so.
-SAMPLE, SAMPLE_TEXT = 300, 2000
+#: Texts, and characters of each, that a dictionary for compression is made of: a hundred kilobytes or so.
+SAMPLE, SAMPLE_TEXT = 60, 2000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _POS = np.uint64((1 << 24) - 1)
 
@@ -314,8 +314,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets, homes = max(12, 4 * size // BUCKET), max(12, size // DOCS)
 
     def cut(batches):
+        release()
         docs, held = [], 0
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if doc is None or len(raw) < length:
@@ -338,8 +339,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["bucket", "blob"])
 
     def sort(table: pa.Table) -> pa.Table:
-        doc, start, end = _bucket((x.as_py() for x in table.column("blob")), length, _packer(sample.value))
         release()
+        doc, start, end = _bucket((x.as_py() for x in table.column("blob")), length, _packer(sample.value))
         home = _home(doc, homes)
         order = np.lexsort((start, doc, home))
         doc, start, end, home = doc[order], start[order], end[order], home[order]
