@@ -27,7 +27,7 @@ from tilewise.llm import scratch
 from tilewise.llm.memory import CACHES, release
 
 #: Entries that a table of states, of borders and of pieces holds before it is emptied. Longer pieces aren't kept.
-STATES, BORDERS, PIECES, KEPT_PIECE = 260_000, 150_000, 160_000, 64
+STATES, BORDERS, PIECES, KEPT_PIECE = 600_000, 600_000, 400_000, 64
 #: Pieces (or characters) of a long text that are held at once; rows whose tokens are held at once.
 PIECE_BLOCK, SLICE = 1 << 20, 256
 
@@ -40,7 +40,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Tokens of pieces, as the merges by rank would give them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], room: float = 1.0):
+        self.room = room
         self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
         self.opens = {t[:i] for t in ranks for i in range(1, len(t))}  # what a longer token can still grow from
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -94,7 +95,7 @@ class Transducer:
                 first, x = x, p[1]
             else:
                 first, y = y + 1, q[0]
-        if len(self.border) >= BORDERS:
+        if len(self.border) >= BORDERS * self.room:
             self.border.clear()
         self.border[key] = out
         return out
@@ -150,7 +151,7 @@ class Transducer:
         """Tokens of one piece. Its last byte needs no next state, so none is made for it."""
         if not piece:
             return []
-        if len(self.next) >= STATES:
+        if len(self.next) >= STATES * self.room:
             self._empty()
         out, state, table = [], 0, self.next
         for byte in piece[:-1]:
@@ -207,17 +208,17 @@ class Utf8Stream:
 
 
 class Codec:
-    """A tokenizer: a pattern that cuts text into pieces, and a transducer."""
+    """A tokenizer: a pattern that cuts text into pieces, and a transducer. room: tables hold this share of their sizes above."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: float = 1.0):
+        self.machine, self.pattern = Transducer(ranks, room), regex.compile(pattern)
         self.kept, self.older = {}, {}
         self.decimal = {i: str(i) for i in self.machine.tokens}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         got = self.older.get(piece) or tuple(self.machine.encode(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= KEPT_PIECE:
-            if len(self.kept) >= PIECES:
+            if len(self.kept) >= PIECES * self.machine.room:
                 self.kept, self.older = {}, self.kept
             self.kept[piece] = got
         return got
@@ -261,26 +262,28 @@ _codecs: dict[tuple, Codec] = {}
 CACHES.append(_codecs)
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
+def codec(ranks: bytes, pattern: str, room: float = 1.0) -> Codec:
     """The codec of a rank file's content, one a process."""
-    key = (hashlib.sha256(ranks).digest(), pattern)
+    key = (hashlib.sha256(ranks).digest(), pattern, room)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(read_ranks(ranks), pattern)
+        _codecs[key] = Codec(read_ranks(ranks), pattern, room)
     return _codecs[key]
 
 
-def codec_for_task(ranks: bytes, pattern: str) -> Codec:
+def codec_for_task(ranks: bytes, pattern: str, room: float) -> Codec:
     """The codec, after other operators' tables are gone."""
     release(_codecs)
-    return codec(ranks, pattern)
+    return codec(ranks, pattern, room)
 
 
-def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: dict[str, tuple] | None = None) -> DataFrame:
+def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: dict[str, tuple] | None = None, room: float = 1.0) -> DataFrame:
     """df with columns made from the tokens of each whole text.
 
     out: name -> (Arrow type, Spark type, function of (ids, codec)); by default ``tokens array<int>``. A name that df
     has already replaces that column. ranks_path is read on the driver and broadcast: a vocabulary is of fixed size.
+    room trades a worker's memory (about 0.5 GB at 1) for time; it changes no result.
+
     Null and empty texts have no tokens. Ids are those of ordinary text; no special tokens. Other columns pass through.
     """
     out = out or tokens()
@@ -290,7 +293,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     made = [(k, t, f) for k, (t, _, f) in out.items()]
 
     def run(batches):
-        c = codec_for_task(shared.value, pattern)
+        c = codec_for_task(shared.value, pattern, room)
         collecting = gc.isenabled()
         gc.disable()  # the tables hold millions of tuples and no cycles
         try:
