@@ -102,3 +102,16 @@ def test_query_recall(spark):
     for r in A.op8_ann(spark, d).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(got[k] & set(want[k])) for k in want) / (20 * len(want)) >= 0.9
+
+
+def test_search_is_whole_in_a_crowd(spark):
+    rng = np.random.default_rng(7)
+    far, centre = rng.normal(size=(6000, 32)), rng.normal(size=32) * 1.5
+    x = np.concatenate([far, centre + 0.05 * rng.normal(size=(3000, 32))]).astype(np.float32)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], KIND)
+    asked = [*range(0, 6000, 300), *range(6000, 9000, 150)]
+    got = {}
+    for r in A.search(df, df.where(f"vec_id in ({','.join(map(str, asked))})"), short=64, sample=2000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute(x, ids, asked, 20)

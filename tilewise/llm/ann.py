@@ -5,10 +5,12 @@
 2. Every distinct vector is encoded by beam search: partial sums of one codeword a book, the best few kept at each
    book. Its codes and the norm of what they miss are stored.
 3. A query has a table of its inner products with all codewords. A row's estimate is the sum of one entry a book.
-   Blocks of queries meet blocks of codes; each keeps for a query the ``SHORT`` best estimates.
-4. The best ``SHORT`` of all blocks are ranked by the exact product of the original vectors.
+   Blocks of queries meet blocks of rows. The exact products of the ``SHORT`` best estimates give a product to reach.
+4. No row's product is above its estimate + |query| * norm of what its codes miss. Every row that can reach the product by
+   this bound is ranked exactly, so codes decide what a search costs and never what it finds. A block reports its best
+   with ties, and the best of all blocks are ranked by the product of the original vectors.
 
-A block reports rows beyond ``SHORT`` whose estimates tie with the last. Equal vectors are indexed once and stand for
+Equal vectors are indexed once and stand for
 their smallest ids, as many as a result can need. Copies of a vector are thus neither scored nor shipped twice.
 """
 
@@ -25,8 +27,9 @@ from tilewise.llm.vectors import matrix, takes_part
 
 #: Vectors that codebooks are fitted on (expected number), books, codewords of a book, beam, rounds of k-means, steps of the least squares.
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS, STEPS = 20_000, 16, 256, 4, 6, 8
-#: Candidates of a query that are ranked exactly, queries of a block, rows of a block, rows encoded or scored at once.
-SHORT, QUERIES, ROWS, STRIPE = 512, 1024, 1 << 17, 2048
+#: Best estimates of a query that set what a row must reach, queries of a block, rows of a block. Relative room for rounding of
+#: estimates (single precision) and of products.
+SHORT, QUERIES, ROWS, LOOSE, FINE = 512, 1 << 13, 1 << 17, 1e-5, 1e-12
 
 
 class Codebooks:
@@ -61,7 +64,7 @@ class Codebooks:
                 cost = np.take_along_axis(total, best, 1)
                 picks = np.concatenate([np.take_along_axis(picks, (best // k)[:, :, None], 1), (best % k)[:, :, None]], 2)
             codes[lo : lo + n] = picks[:, 0]
-            missed[lo : lo + n] = np.sqrt(np.maximum(0, cost[:, 0] + (y**2).sum(1)))
+            missed[lo : lo + n] = np.linalg.norm(y - sum(self.books[j][picks[:, 0, j]] for j in range(m)), axis=1)
         return codes, missed
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -146,14 +149,14 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
         c = Codebooks(books.value)
         for b in batches:
             codes, missed = c.encode(matrix(b.column(0), dim))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(missed)], names=["rep", "code", "missed"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(missed), b.column(0)], names=["rep", "code", "missed", "vec"])
 
-    coded = scratch.save(index.select("vec", "rep").mapInArrow(encode, "rep bigint, code binary, missed double"), "codes")
+    coded = scratch.save(index.select("vec", "rep").mapInArrow(encode, "rep bigint, code binary, missed double, vec array<double>"), "codes")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = coded.select(F.pmod(F.xxhash64("rep"), F.lit(row_blocks)).cast("int").alias("r"), every(query_blocks).alias("q"), "rep", "code", F.lit(None).cast("array<double>").alias("vec"))
-    right = asked.select(every(row_blocks).alias("r"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q"), F.col("id").alias("rep"), F.lit(None).cast("binary").alias("code"), "vec")
+    left = coded.select(F.pmod(F.xxhash64("rep"), F.lit(row_blocks)).cast("int").alias("r"), every(query_blocks).alias("q"), "rep", "code", "missed", "vec")
+    right = asked.select(every(row_blocks).alias("r"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q"), F.col("id").alias("rep"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"), "vec")
 
-    none = pa.table({"query_id": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "s": pa.array([], pa.float32())})
+    none = pa.table({"query_id": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "room": pa.array([], pa.float64())})
 
     def score(table: pa.Table) -> pa.Table:
         is_row = np.asarray(table.column("code").is_valid())
@@ -167,22 +170,38 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
         c.books = books.value
         c.flat = c.books.reshape(-1, dim)
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)[order].T.astype(np.intp)
-        tables, ids = c.tables(matrix(ask.column("vec"), dim)), ask.column("rep").to_numpy()
-        out_q, out_r, out_s = [], [], []
+        x, missed = matrix(rows.column("vec"), dim)[order], rows.column("missed").to_numpy()[order]
+        q, ids = matrix(ask.column("vec"), dim), ask.column("rep").to_numpy()
+        longest = np.sqrt((x**2).sum(1).max()) + np.sqrt((c.flat**2).sum(1).reshape(len(codes), -1).max(1)).sum()
+        out_q, out_r, out_s, out_e = [], [], [], []
         for i in range(len(ids)):
-            s = tables[i, 0].take(codes[0])
+            table = c.tables(q[i : i + 1])[0]
+            size = np.linalg.norm(q[i])
+            s = table[0].take(codes[0])
             for j in range(1, len(codes)):
-                s += tables[i, j].take(codes[j])
-            at = np.flatnonzero(s >= -np.partition(-s, short - 1)[short - 1]) if len(s) > short else np.arange(len(s))
+                s += table[j].take(codes[j])
+            room = FINE * size * longest * dim
+            at = np.arange(len(s))
+            if len(s) > max(short, k + 1):  # k + 1, as one can be the query itself
+                first = np.argpartition(-s, max(short, k + 1) - 1)[: max(short, k + 1)]
+                reach = np.partition(x[first] @ q[i], -(k + 1))[-(k + 1)] - room
+                at = np.flatnonzero(~(s + size * (missed + LOOSE * longest) < reach))
+            exact = x[at] @ q[i]
+            if len(at) > k + 1:
+                best = ~(exact < np.partition(exact, -(k + 1))[-(k + 1)] - room)
+                at, exact = at[best], exact[best]
             out_q.append(np.full(len(at), ids[i]))
             out_r.append(rep[at])
-            out_s.append(s[at])
+            out_s.append(exact)
+            out_e.append(np.full(len(at), room))
         flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-        return pa.table({"query_id": flat(out_q, pa.int64()), "rep": flat(out_r, pa.int64()), "s": flat(out_s, pa.float32())})
+        return pa.table({"query_id": flat(out_q, pa.int64()), "rep": flat(out_r, pa.int64()), "s": flat(out_s, pa.float64()), "room": flat(out_e, pa.float64())})
 
-    found = left.union(right).groupBy("r", "q").applyInArrow(score, "query_id bigint, rep bigint, s float")
+    found = left.union(right).groupBy("r", "q").applyInArrow(score, "query_id bigint, rep bigint, s double, room double")
     best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "rep")
-    short_list = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= short).select("query_id", "rep")
+    least = F.max(F.when(F.col("at") == k + 1, F.col("s"))).over(Window.partitionBy("query_id"))
+    ranked = found.withColumn("at", F.row_number().over(best)).withColumn("least", least)
+    short_list = ranked.where(F.col("least").isNull() | (F.col("s") >= F.col("least") - F.col("room"))).select("query_id", "rep")
     full = short_list.join(index, "rep").join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
     product = F.aggregate(F.zip_with("vec", "q", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
     near = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
