@@ -85,3 +85,12 @@ def test_query_against_brute_force(spark):
     for k, t in docs:
         r = got[k]
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(t), len(t) - len(want[k]), hashlib.sha256(want[k]).hexdigest())
+
+
+@pytest.mark.parametrize("n", [136, 200])
+def test_long_strings_against_brute_force(spark, n):
+    rnd = random.Random(n)
+    shared = ["".join(rnd.choice("abcdefgh ") for _ in range(4 * n)) for _ in range(6)]
+    rows = [(d, "".join(rnd.choice("xyz ") for _ in range(rnd.randrange(n))) + rnd.choice(shared)[rnd.randrange(n) :] + rnd.choice(shared), "x") for d in range(40)]
+    want = brute([(d, t.encode()) for d, t, _ in rows], n)
+    assert kept(spark, rows, n) == {d: w.decode() for d, w in want.items()}

@@ -149,6 +149,7 @@ def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int, packer: Pac
     owner = np.searchsorted(bounds, first, side="right") - 1
     doc, off = ids[owner], first - bounds[owner]
     end = last + length
+    kind = np.uint8 if 2 * length - GRAM < 256 else np.uint16  # the longest stretch
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         seen: dict[bytes, int] = {}
@@ -159,8 +160,8 @@ def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int, packer: Pac
         keep = d == least[code]
         place = (gram - first)[lo:hi][at].astype(np.uint8)
         yield int(bucket[lo]), packer.pack(
-            np.frombuffer(b"".join(seen), np.uint8), n[at].astype(np.uint8), place, _delta(least),
-            _delta(code[keep]).astype(np.int32), o[keep].astype(np.uint32), _delta(d[~keep]), o[~keep].astype(np.uint32), n[~keep].astype(np.uint8),
+            np.frombuffer(b"".join(seen), np.uint8), n[at].astype(kind), place, _delta(least),
+            _delta(code[keep]).astype(np.int32), o[keep].astype(np.uint32), _delta(d[~keep]), o[~keep].astype(np.uint32), n[~keep].astype(kind),
         )
 
 
