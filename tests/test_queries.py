@@ -52,6 +52,14 @@ def test_pairs_without_sql(spark):
     assert core.QUERIES["rouge_l_stem"](spark, DIR).count() == len(got)
 
 
+def test_stems_of_whole_texts(spark, tmp_path):
+    same = " ".join(f"same{i}" for i in range(150))
+    texts = [(1, " ".join(f"a{i}" for i in range(120)) + " " + same), (2, " ".join(f"b{i}" for i in range(110)) + " " + same), (3, "walking dogs"), (4, "walked dog")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.f1 for r in core.QUERIES["rouge_l_stem"](spark, str(tmp_path)).collect()}
+    assert got == {1: pytest.approx(300 / 530, abs=1e-6), 2: 0.0, 3: 1.0}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
