@@ -33,8 +33,9 @@ def test_crowded_texts():
 def test_small_tables(monkeypatch):
     monkeypatch.setattr(bpe, "STATES", 20)
     monkeypatch.setattr(bpe, "BORDERS", 5)
-    monkeypatch.setattr(bpe, "PIECES", 3)
-    monkeypatch.setattr(bpe, "PIECE_BLOCK", 7)
+    monkeypatch.setattr(bpe, "CHUNKS", 3)
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    monkeypatch.setattr(bpe, "LOOK", 4)
     c = bpe.Codec(RANKS, P.PATTERN)
     text = "The reordering of internationalisation, überhaupt; 12345 " * 5
     assert c.encode(text) == OTHER.encode_ordinary(text)
@@ -47,6 +48,42 @@ def test_transducer_is_the_definition():
         assert CODEC.machine.encode(piece) == CODEC.machine.merge(piece)
 
 
+def test_many_pieces_at_once():
+    rnd = random.Random(2)
+    pieces = list({bytes(rnd.choice(b"thering \xc3\xa9\xff0") for _ in range(rnd.randrange(1, bpe.LOOK + 1))) for _ in range(2000)})
+    assert CODEC.packed.encode(pieces) == [CODEC.machine.merge(p) for p in pieces] and CODEC.packed.encode([]) == []
+
+
+def test_pieces_longer_than_the_lookahead():
+    rnd = random.Random(3)
+    for letters in ("a", "ab", "thering", "é東a", " ", "=-"):
+        text = "".join(rnd.choice(letters) for _ in range(700))
+        assert CODEC.encode(text) == OTHER.encode_ordinary(text)
+
+
+def test_white_space_between_chunks():
+    rnd = random.Random(4)
+    for _ in range(2000):
+        text = "".join(rnd.choice([" ", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\r", "a", "B1", "'s", "!", "\u200b"]) for _ in range(rnd.randrange(1, 14)))
+        assert CODEC.encode(text) == OTHER.encode_ordinary(text)
+
+
+def test_another_pattern():
+    c = bpe.Codec(RANKS, r"\p{L}+|\d{1,3}|[^\p{L}\d]+")
+    other = tiktoken.Encoding("other", pat_str=r"\p{L}+|\d{1,3}|[^\p{L}\d]+", mergeable_ranks=RANKS, special_tokens={})
+    text = "überall 123456 words,  and more\n\nof them " * 20
+    assert c.encode(text) == other.encode_ordinary(text)
+
+
+def test_long_and_repeated_texts_in_one_batch(spark):
+    long = "the quick brown fox, " * 40_000
+    df = spark.createDataFrame([(1, "a b"), (2, long), (3, "a b"), (4, ""), (5, None)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.tokenize(df, PATH, P.PATTERN, out=bpe.tokens() | bpe.digests()).collect()}
+    assert got[2].tokens == OTHER.encode_ordinary(long) and got[1].tokens == got[3].tokens == OTHER.encode_ordinary("a b")
+    assert got[2].ids_sha256 == hashlib.sha256(",".join(map(str, got[2].tokens)).encode()).hexdigest()
+    assert got[2].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[4].n_tokens == got[5].n_tokens == 0
+
+
 @given(st.binary(max_size=40), st.lists(st.integers(1, 5), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_utf8_stream(data, cuts):
