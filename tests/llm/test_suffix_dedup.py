@@ -85,9 +85,46 @@ def test_query_against_brute_force(spark):
     for k, t in docs:
         r = got[k]
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(t), len(t) - len(want[k]), hashlib.sha256(want[k]).hexdigest())
-
-
-@pytest.mark.parametrize("n", [136, 200])
+        assert r.n_spans == want_spans(docs, 50)[k]
+
+
+def want_spans(docs, n, _kept={}):
+    """The number of maximal removed runs of each document, by brute force."""
+    if not _kept:
+        first = {}
+        for d, t in sorted(docs):
+            for i in range(len(t) - n + 1):
+                first.setdefault(t[i : i + n], d)
+        for d, t in docs:
+            gone = np.zeros(len(t) + 1, bool)
+            for i in range(len(t) - n + 1):
+                if first[t[i : i + n]] < d:
+                    gone[i : i + n] = True
+            _kept[d] = int((gone[1:] < gone[:-1]).sum())
+    return _kept
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    rnd = np.random.default_rng(0)
+    base = "".join(map(chr, rnd.integers(97, 123, S.CHUNK + 500_000)))
+    tail = "".join(map(chr, rnd.integers(65, 91, 3000)))
+    got = kept(spark, [(1, base, "a"), (2, "#" + base[1000 : S.CHUNK + 100_000] + tail, "b"), (3, base[S.CHUNK - 60 : S.CHUNK + 60], "c")])
+    assert got == {1: base, 2: "#" + tail, 3: ""}
+
+
+def test_a_passage_in_every_document_and_rows_without_id(spark):
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage = word(120)
+    rows = [(d, word(30) + passage + word(30), "x") for d in range(400)]
+    df = spark.createDataFrame(rows + [(None, passage, "n")] * 50, "doc_id long, text string, _id string").repartition(5)
+    got = S.remove_repeats(df).collect()
+    want = brute([(d, t.encode()) for d, t, _ in rows], 50)
+    assert {r.doc_id: r.text for r in got if r.doc_id is not None} == {d: w.decode() for d, w in want.items()}
+    assert [r.text for r in got if r.doc_id is None] == [passage] * 50
+
+
+@pytest.mark.parametrize("n", [100, 136, 200])
 def test_long_strings_against_brute_force(spark, n):
     rnd = random.Random(n)
     shared = ["".join(rnd.choice("abcdefgh ") for _ in range(4 * n)) for _ in range(6)]

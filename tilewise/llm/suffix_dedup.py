@@ -6,8 +6,9 @@ Every window of ``length`` bytes is judged. How equal windows meet without shuff
    windows mostly share one, and travel as one stretch of text (``length`` + 16 bytes on average) to the bucket that
    the gram's hash names. Within a chunk of documents, equal stretches of later documents are settled at once and only
    the earliest document's is sent, so a passage that everyone has arrives once a chunk, not once a document.
-2. A bucket's stretches with a gram of two or more documents are laid out in one text, every gram at a multiple of
-   ``V``. Its windows are sorted as suffixes, blockwise: ranks of the suffixes that start on a difference cover modulo
+2. In a bucket, windows whose first and last 8 bytes no other document has together are dropped; what that leaves is
+   nearly all repeated. Its stretches are laid out in one text, every gram at a multiple of ``V``, and its windows are
+   sorted as suffixes, blockwise: ranks of the suffixes that start on a difference cover modulo
    ``V`` are computed once, by doubling; then one bucket of leading bytes is sorted at a time, by 16 bytes and, where
    these tie, by the rank of the cover suffix a few bytes on. Memory is bounded by the cover and one suffix bucket.
    Equal windows hold their gram at the same place, so they start in the same class modulo V and one distance to the
@@ -85,12 +86,15 @@ def _delta(x: np.ndarray) -> np.ndarray:
 
 def _load(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place, as numbers in the order of the bytes."""
-    out = np.empty(len(at), np.uint64)
-    for r in range(8):
-        here = np.flatnonzero(at % 8 == r)
-        if len(here):
-            out[here] = np.frombuffer(text, ">u8", (len(text) - r) // 8, r)[at[here] // 8]
-    return out
+    return np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))[at].astype(np.uint64)
+
+
+def _dense(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of numbers among the distinct ones, and how many those are."""
+    order = np.argsort(x)
+    rank = np.empty(len(x), np.uint64)
+    rank[order] = np.cumsum(np.diff(x[order], prepend=x[order[:1]]) != 0).astype(np.uint64)
+    return rank, int(rank[order[-1]]) + 1 if len(x) else 0
 
 
 def _keys(text: np.ndarray, length: int) -> np.ndarray:
@@ -167,34 +171,81 @@ def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int, packer: Pac
 
 def _ranks(text: np.ndarray, sample: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes at sample by at least their first ``depth`` bytes; sample is closed under steps of V up to its end."""
-    a, b = _load(text, sample), _load(text, sample + 8)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    rank = np.empty(len(sample), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+    (a, _), (b, n) = _dense(_load(text, sample)), _dense(_load(text, sample + 8))
+    rank, _ = _dense(a * np.uint64(n) + b)
     step, per = 1, len(COVER)
     have = V
     while have < depth:
-        on = np.full(len(sample), -1, np.int64)
-        on[: -step * per or None] = rank[step * per :]
-        key = rank * (len(sample) + 1) + on + 1
-        order = np.argsort(key)
-        key = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        on = np.zeros(len(sample), np.uint64)
+        on[: -step * per or None] = rank[step * per :] + np.uint64(1)
+        rank, _ = _dense(rank * np.uint64(len(sample) + 1) + on)
         step, have = 2 * step, 2 * have
     return rank
 
 
+def _windows(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of each stretch, in order: its stretch and its place there."""
+    n = sizes - length + 1
+    return np.repeat(np.arange(len(sizes)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _candidates(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """A flag for each window: whether another document may have it, by a hash of its first and last 8 bytes. No repeated one is missed."""
+    bits = max(10, min(24, int(np.sum(sizes)).bit_length() + 1))
+    shift = np.uint64(64 - bits)
+    code = np.unique(doc, return_inverse=True)[1].reshape(-1).astype(np.int32)
+    owner, many, parts = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, bool), []
+    for lo in range(0, len(sizes), SORTED // 8):  # some stretches at a time
+        some = slice(lo, lo + SORTED // 8)
+        of, place = _windows(sizes[some], length)
+        at = starts[some][of] + place
+        h = _load(text, at) * _A
+        h = ((h ^ (h >> np.uint64(31))) + _load(text, at + length - 8) * _B) * _C
+        h = ((h ^ (h >> np.uint64(29))) * _A >> shift).astype(np.int32)
+        mine = code[some][of]
+        was = owner[h]
+        owner[h] = mine
+        many[h[(owner[h] != mine) | ((was >= 0) & (was != mine))]] = True
+        parts.append(h)
+    return many[np.concatenate(parts)]
+
+
 def repeated(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """A flag for each window of each stretch, in order: whether a stretch with a smaller doc has it too.
 
     text holds the stretches; place is where each has its gram. Equal windows must have it at the same distance.
     """
+    maybe = _candidates(text, starts, sizes, doc, length)
+    used = np.add.reduceat(maybe, np.cumsum(sizes - length + 1) - (sizes - length + 1)) > 0
+    if not used.any():
+        return np.zeros(len(maybe), bool)
+    of, at = _windows(sizes, length)
+    on = used[of]
+    of, at, maybe = (np.cumsum(used) - 1)[of[on]], at[on], maybe[on]
+    starts, sizes, place, doc = starts[used], sizes[used], place[used], doc[used]
+    # Equal stretches have one place in the order; it stands for the least of their documents.
+    seen: dict[bytes, int] = {}
+    code = np.array([seen.setdefault(text[s : s + n].tobytes(), len(seen)) for s, n in zip(starts.tolist(), sizes.tolist())])
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+    earliest = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, code, doc)
+    wins = sizes[first] - length + 1
+    to = (np.cumsum(wins) - wins)[code[of]] + at
+    wanted = np.zeros(int(wins.sum()), bool)
+    wanted[to[maybe]] = True
+    least = _least(text, starts[first], sizes[first], place[first], earliest, wanted, length)
+    flag = np.zeros(len(on), bool)
+    flag[on] = least[to] < doc[of]
+    return flag
+
+
+def _least(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray, doc: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
+    """For each wanted window of these stretches the least doc that has it, from the order of their suffixes."""
     lead = -place % V
     slot = -(-(lead + sizes) // V) * V
     base = np.cumsum(slot) - slot
     laid = np.zeros(int(slot.sum()) + 8 * V, np.uint8)
-    for lo in range(0, len(sizes), SORTED // 8):  # some stretches at a time
+    for lo in range(0, len(sizes), SORTED // 8):
         some = slice(lo, lo + SORTED // 8)
         n = sizes[some]
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -204,22 +255,23 @@ def repeated(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.
     # from each class, the distance to the cover and the cover's number in its row
     far = np.array([min((c - r) % V for c in COVER) for r in range(V)])
     rows = np.array([COVER.index((r + far[r]) % V) for r in range(V)])
-    wins = sizes - length + 1
-    owner = np.repeat(np.arange(len(sizes)), wins)
-    at = (base + lead)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(wins) - wins, wins)
-    flag = np.zeros(len(at), bool)
-    lead2 = laid[at].astype(np.int64) * 256 + laid[at + 1]
-    count = np.bincount(lead2, minlength=65536)
-    group = (np.cumsum(count) - 1) // SORTED
-    by = group[lead2]
+    owner, at = (x[wanted] for x in _windows(sizes, length))
+    at += (base + lead)[owner]
+    found = np.empty(len(at), np.int64)
+    lead2 = laid[at].astype(np.int32) * 256 + laid[at + 1]
+    group = (np.cumsum(np.bincount(lead2, minlength=65536)) - 1) // SORTED
+    by = group[lead2].astype(np.int32)
     for g in np.unique(by):
         w = np.flatnonzero(by == g)
         p = at[w]
-        a, b, r = _load(laid, p), _load(laid, p + 8), p % V
-        tie = rank[(p + far[r]) // V * len(COVER) + rows[r]]
-        order = np.lexsort((tie, r, b, a))
-        w, p, a, b = w[order], p[order], a[order], b[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        r = p % V
+        (a, _), (b, n) = _dense(_load(laid, p)), _dense(_load(laid, p + 8))
+        tie = rank[(p + far[r]) // V * len(COVER) + rows[r]] + r.astype(np.uint64) * np.uint64(len(sample))
+        head, _ = _dense(a * np.uint64(n) + b)
+        tail, n = _dense(tie)
+        order = np.argsort(head * np.uint64(n) + tail)
+        w, p, head = w[order], p[order], head[order]
+        same = head[1:] == head[:-1]
         near = np.flatnonzero(same)
         for step in [*range(16, length - 8, 8), length - 8]:
             near = near[_load(laid, p[near] + step) == _load(laid, p[near + 1] + step)]
@@ -227,9 +279,10 @@ def repeated(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.
         same[near] = True
         runs = np.concatenate([[0], np.flatnonzero(~same) + 1])
         d = doc[owner[w]]
-        least = np.repeat(np.minimum.reduceat(d, runs), np.diff(np.append(runs, len(d))))
-        flag[w] = least < d
-    return flag
+        found[w] = np.repeat(np.minimum.reduceat(d, runs), np.diff(np.append(runs, len(d))))
+    out = np.full(len(wanted), np.iinfo(np.int64).max)
+    out[wanted] = found
+    return out
 
 
 def _bucket(blobs, length: int, packer: Packer = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,10 +301,10 @@ def _bucket(blobs, length: int, packer: Packer = PLAIN) -> tuple[np.ndarray, np.
     text, size, place, doc, code, off = (np.concatenate(x) for x in (texts, sizes, places, docs, codes, offs))
     start = np.cumsum(size) - size
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    a, b = _load(padded, start + place), _load(padded, start + place + 8)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    runs = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1])
+    (a, _), (b, n) = _dense(_load(padded, start + place)), _dense(_load(padded, start + place + 8))
+    gram = a * np.uint64(n) + b
+    order = np.argsort(gram)
+    runs = np.concatenate([[0], np.flatnonzero(np.diff(gram[order])) + 1])
     d = doc[order]
     shared = np.minimum.reduceat(d, runs) != np.maximum.reduceat(d, runs)
     hot = np.sort(order[np.repeat(shared, np.diff(np.append(runs, len(order))))])
@@ -352,7 +405,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def deal(batches):
         for batch in batches:
             ids = batch.column(len(names))
-            home = _home(ids.fill_null(0).to_numpy(zero_copy_only=False), homes)
+            no_id = ids.is_null().to_numpy(zero_copy_only=False)  # these rows meet nothing and go anywhere
+            home = _home(np.where(no_id, np.arange(len(no_id)), ids.fill_null(0).to_numpy(zero_copy_only=False)), homes)
             order = np.argsort(home, kind="stable")
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(home[order].astype(np.int64))) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1], cuts[1:]):
