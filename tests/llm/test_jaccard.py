@@ -38,6 +38,17 @@ def test_near_copies_are_those_of_brute_force_jaccard(spark):
     assert sorted(r.doc_id for r in C.near_copies(spark, docs, "").collect()) == [i for i in range(len(texts)) if label[i] == i]
 
 
+def test_a_copy_goes_and_other_rows_of_its_id_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a, "1"), (5, a, "2"), (5, b, "3"), (7, c, "4"), (7, c, "4"), (7, f"{c} more", "5"), (None, a, "6"), (None, a, "6"), (8, None, "7"), (9, "", "8"), (2, d, "9"), (1, d.upper(), "10")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    out = J.keep_first(df)
+    assert out.columns == df.columns
+    assert sorted(r.h for r in out.collect() if r.h not in "45") == sorted(["1", "3", "6", "6", "7", "10"])
+    assert len([r for r in out.collect() if r.doc_id == 7]) == 1
+    assert J.keep_first(df.limit(0)).count() == 0
+
+
 def test_near_copies_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())

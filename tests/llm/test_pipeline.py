@@ -1,13 +1,11 @@
 import hashlib
 
-import numpy as np
 import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline as C
 from tilewise.llm import bpe, langid
-from tilewise.llm.components import hook
-from tilewise.llm.simhash import simhash
+from tests.llm.test_jaccard import groups
 from tests.llm.test_suffix_dedup import brute
 
 D = "/root/testdata/sf0.001"
@@ -28,9 +26,7 @@ def test_stages_against_brute_force(spark):
     ids = sorted(raw)
     assert kept == {i for i, (l, s, _) in zip(ids, model.label([raw[i].text for i in ids])) if l != "und" and s >= C.LEAST_SHARE}
     ids = sorted(kept)
-    fp = np.array([simhash(raw[i].text, C.SHINGLE) for i in ids], dtype=np.uint64)
-    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= C.BITS)
-    label = hook(np.arange(len(ids)), i, j)
+    label = groups([raw[i].text for i in ids])
     one = [d for k, d in enumerate(ids) if label[k] == k]
     assert sorted(r.doc_id for r in out["near_copies"].collect()) == one
     want = {d: t.decode("utf-8", "replace") for d, t in brute([(d, raw[d].text.encode()) for d in one], 50).items()}

@@ -1,15 +1,16 @@
 """Near-duplicates by SimHash, linked by a self-join of the binary trie of fingerprints.
 
 1. ``fingerprints`` hashes every word shingle of the whole text (XXH64, seed 42) and takes the majority of each bit.
-2. Equal fingerprints are one leaf. The trie is cut into nodes of at most ``NODE`` leaves: first at depth 6, and below
-   any fuller node at 12, 18, ... 60 bits (a node at depth 60 has 16 leaves at most), so a crowd of close
-   fingerprints is cut deeper than the rest.
+2. Equal fingerprints are one leaf. The trie is cut into nodes of at most ``NODE`` leaves, or an eighth of all where
+   these are few: a fuller node is cut into its halves, down to 60 bits (16 leaves at most), so a crowd of close
+   fingerprints is cut deeper than the rest. A leaf is sent to every node that its own must meet: with nodes at depth d
+   to sum(C(d, i), i <= budget) of them, 8 at d = 3, 64 at d = 7, 988 at d = 18 (34 thousand million leaves).
 3. Node pairs whose known bits differ in more than the budget are pruned; every other pair is a task of its own.
 4. A task walks both subtrees together, adds up the bits in which the paths differ, prunes beyond the budget, and also
    prunes pairs of subtrees that are one component already. It returns a spanning forest of its links, never all pairs.
 5. ``components`` joins the forests.
 
-Cuts are broadcast as node prefixes: at most 64 (1 + leaves/NODE) numbers, whatever the texts are.
+Cuts are broadcast as node prefixes: at most 60 (1 + leaves/NODE) numbers, whatever the texts are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tilewise.llm import scratch
 from tilewise.llm.components import components, hook
 from tilewise.llm.memory import release
 
-#: Bits of a step between cuts, leaves of a node before it is cut again, node pairs walked at once.
+#: Bits of which leaves are counted at once, leaves of a node before it is cut again, node pairs walked at once.
 STEP, NODE, BLOCK = 6, 1 << 17, 1 << 19
 #: Bytes of a text hashed at once; a block ends at white space.
 TEXT_BLOCK = 1 << 21
@@ -43,6 +44,14 @@ def _blocks(raw: bytes):
         at = end
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[i : i + 4096].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(((2 * ones > len(hashes)).astype(np.uint64) << _SHIFTS).sum())
+
+
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The fingerprint, unsigned. Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased; no words: 0."""
     digest, ones, n, carry = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
@@ -161,38 +170,38 @@ def walk(a: np.ndarray, b: np.ndarray | None, budget: int) -> np.ndarray:
     return label
 
 
-def _cuts(leaves: DataFrame, node: int) -> dict[int, np.ndarray]:
-    """Prefixes of fuller nodes by depth; fewer than leaves/node a depth."""
-    heavy: dict[int, np.ndarray] = {}
-    rest = leaves
-    for depth in range(STEP, 60, STEP):
-        prefix = F.shiftrightunsigned("fp", 64 - depth)
-        found = [r[0] for r in rest.groupBy(prefix.alias("p")).count().where(F.col("count") > node).collect()]
-        if not found:
-            break
-        heavy[depth] = np.sort(np.array(found, dtype=np.int64)).astype(np.uint64)
-        full = leaves.sparkSession.createDataFrame([(int(x),) for x in found], "p bigint")
-        rest = rest.join(F.broadcast(full), prefix == F.col("p"), "left_semi")
-    return heavy
+def _cuts(leaves: DataFrame, node: int) -> list[tuple[int, int]]:
+    """(prefix, depth) of the nodes of the cut. A job counts the leaves below all fuller nodes, ``STEP`` levels at once."""
+    out, full, depth = [], [0], 0
+    while full and depth < 60:
+        prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("bigint")
+        few = leaves.sparkSession.createDataFrame([(int(x),) for x in full], "p bigint")  # fewer than leaves / node
+        counts = dict.fromkeys(((f << STEP) + i for f in full for i in range(1 << STEP)), 0)
+        below = leaves.join(F.broadcast(few), prefix == F.col("p"), "left_semi").groupBy(F.shiftrightunsigned("fp", 64 - depth - STEP).alias("p")).count()
+        counts.update((r[0], r[1]) for r in below.collect())
+        level = {f: [counts[(f << STEP) + i] for i in range(1 << STEP)] for f in full}
+        full = []
+        for f, n in level.items():
+            stack = [(f, 0, n)]
+            while stack:
+                p, d, n = stack.pop()
+                if sum(n) <= node or depth + d == 60:
+                    out.append((p, depth + d))
+                elif d == STEP:
+                    full.append(p)
+                else:
+                    stack += [(2 * p, d + 1, n[: len(n) // 2]), (2 * p + 1, d + 1, n[len(n) // 2 :])]
+        depth += STEP
+    return out + [(p, depth) for p in full]
 
 
 class Cut:
     """Which node of the cut trie holds a fingerprint, and which other nodes a node must meet."""
 
-    def __init__(self, heavy: dict[int, np.ndarray], budget: int):
-        self.heavy, self.budget, self.near = heavy, budget, {}
-        depths, prefixes = [], []
-        nodes, depth = np.arange(1 << STEP, dtype=np.uint64), STEP
-        while True:
-            full = np.isin(nodes, heavy.get(depth, np.zeros(0, np.uint64)))
-            depths.append(np.full((~full).sum(), depth, np.uint64))
-            prefixes.append(nodes[~full])
-            if not full.any():
-                break
-            nodes = ((nodes[full] << np.uint64(STEP))[:, None] + np.arange(1 << STEP, dtype=np.uint64)).reshape(-1)
-            depth += STEP
-        self.depth, prefix = np.concatenate(depths), np.concatenate(prefixes)
-        self.top = prefix << (np.uint64(64) - self.depth)
+    def __init__(self, nodes: list[tuple[int, int]], budget: int):
+        self.budget, self.near = budget, {}
+        self.depth = np.array([d for _, d in nodes], np.uint64)
+        self.top = np.array([p << (64 - d) & (1 << 64) - 1 for p, d in nodes], np.uint64)
         order = np.argsort(self.top)
         self.top, self.depth = self.top[order], self.depth[order]
 
@@ -203,7 +212,7 @@ class Cut:
         """Nodes, itself included, with at most ``budget`` differences in the bits that both know."""
         if node not in self.near:
             known = np.minimum(self.depth, self.depth[node])
-            x = (self.top ^ self.top[node]) >> (np.uint64(64) - known)
+            x = (self.top ^ self.top[node]) >> (np.uint64(63) - known) >> np.uint64(1)
             self.near[node] = np.flatnonzero(np.bitwise_count(x) <= self.budget)
         return self.near[node]
 
@@ -211,31 +220,30 @@ class Cut:
 def links(leaves: DataFrame, budget: int = 3, node: int = NODE) -> DataFrame:
     """(a, b): spanning edges between the ids of leaves (fp, rep) that are ``budget`` bits or fewer apart, in chains."""
     spark = leaves.sparkSession
-    cut = spark.sparkContext.broadcast(_cuts(leaves, node))
+    nodes = _cuts(leaves, max(16, min(node, -(-leaves.count() // 8))))
+    cut, total = spark.sparkContext.broadcast(nodes), len(nodes)
 
     def deal(batches):
         c = Cut(cut.value, budget)
         for b in batches:
             fp, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
             home = c.node_of(fp.view(np.uint64))
-            for lo in range(0, len(fp), 20_000):
-                h = home[lo : lo + 20_000]
-                mine = [c.partners(x) for x in h.tolist()]
-                n = np.fromiter(map(len, mine), np.int64, len(mine))
-                if not n.sum():
-                    continue
-                other, me = np.concatenate(mine), np.repeat(h, n)
-                key = np.minimum(me, other) * len(c.top) + np.maximum(me, other)
-                side = (me > other).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(np.repeat(fp[lo : lo + 20_000], n)), pa.array(np.repeat(rep[lo : lo + 20_000], n)), pa.array(me == other)], names=["pair", "side", "fp", "rep", "own"])
-
-    def join(table: pa.Table) -> pa.Table:
-        fp, rep, side = (table.column(k).to_numpy() for k in ("fp", "rep", "side"))
-        fp = fp.view(np.uint64)
-        own = bool(table.column("own")[0].as_py())
-        parts = []
+            order = np.argsort(home, kind="stable")
+            fp, rep, home = fp[order], rep[order], home[order]
+            edge = np.flatnonzero(np.diff(home, prepend=-1, append=-1))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                me, near = int(home[lo]), c.partners(int(home[lo]))
+                blob = pa.scalar(fp[lo:hi].tobytes() + rep[lo:hi].tobytes(), pa.binary())
+                key = np.minimum(me, near) * total + np.maximum(me, near)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((me > near).astype(np.int8)), pa.repeat(blob, len(near))], names=["pair", "side", "leaves"])
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        own = key[0].as_py() // total == key[0].as_py() % total
+        side, blobs, parts = table.column("side").to_pylist(), table.column("leaves").to_pylist(), []
         for s in (0,) if own else (0, 1):
-            f, r = fp[side == s], rep[side == s]
+            mine = [x for x, y in zip(blobs, side) if y == s]
+            f = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in mine] or [np.zeros(0, np.uint64)])
+            r = np.concatenate([np.frombuffer(x, np.int64, offset=len(x) // 2) for x in mine] or [np.zeros(0, np.int64)])
             order = np.argsort(f)
             parts.append((f[order], r[order]))
         ids = np.concatenate([r for _, r in parts])
@@ -243,7 +251,7 @@ def links(leaves: DataFrame, budget: int = 3, node: int = NODE) -> DataFrame:
         at = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[label[at]], pa.int64())})
 
-    dealt = leaves.select("fp", "rep").mapInArrow(deal, "pair bigint, side tinyint, fp bigint, rep bigint, own boolean")
+    dealt = leaves.select("fp", "rep").mapInArrow(deal, "pair bigint, side tinyint, leaves binary")
     return dealt.groupBy("pair").applyInArrow(join, "a bigint, b bigint")
 
 
