@@ -26,8 +26,8 @@ from tilewise.llm.memory import release
 #: Training texts a language (expected number), hashed trigrams, what a count is raised by, the penalty of a switch,
 #: the share of a language's letters from which a script counts as its own, the cost of a word in another script.
 SAMPLE, BUCKETS, RAISE, SWITCH, OWN_SCRIPT, FOREIGN = 2000, 1 << 16, 0.05, 12.0, 0.01, 25.0
-#: Characters scored at once; (word, language) cells of Viterbi kept at once.
-BLOCK, CELLS = 1 << 20, 1 << 24
+#: Characters scored at once; (word, language) cells of Viterbi kept at once; rows labelled at once.
+BLOCK, CELLS, ROWS = 1 << 20, 1 << 23, 1024
 #: First code point of each range, and its script (0: none or any other).
 RANGES = (
     (0x0000, 0), (0x0041, 1), (0x0250, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 0),
@@ -188,6 +188,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     place = {k: i for i, k in enumerate(langs)}
 
     def count(batches):
+        release()
         grams, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), SCRIPTS), np.int64)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -223,18 +224,21 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", spans: bool = F
         release()
         m = Model.__new__(Model)
         m.langs, m.table, m.bar = shared.value
-        for b in batches:
+        b = text = done = new = None
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             text, done = b.column(len(rest)).to_pylist(), []
             lo = size = 0
             for i, t in enumerate(text):
                 size += len(t or "")
-                if size > 4 * BLOCK or i == len(text) - 1:
+                if size > BLOCK or i == len(text) - 1:
                     done += m.label(text[lo : i + 1])
                     lo, size = i + 1, 0
             new = [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.float64())]
             if spans:
                 new.append(pa.array([[dict(zip(("start", "end", "lang"), s)) for s in d[2]] for d in done], span))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *new], names=[*rest, *made])
+        del text, done, new, b
+        release()
 
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
