@@ -24,3 +24,11 @@ def prompt(column: str = "messages", generate: bool = True) -> Column:
     one = lambda m: F.concat(F.lit("<|"), m.role, F.lit("|>\n"), F.array_join(F.transform(m.content, part), "\n"), F.lit("\n"))
     text = F.array_join(F.transform(column, one), "")
     return F.concat(text, F.lit("<|assistant|>\n")) if generate else text
+
+
+def prefill_items(conversations: DataFrame, conv: str = "conv_id", image_len: int = 24) -> DataFrame:
+    """(conv, pos, is_image, len): the content items of a conversation's messages in order; an image is one item of a fixed length, a text has its words."""
+    flat = conversations.select(conv, F.posexplode(F.flatten(F.transform("messages", lambda m: m.content))).alias("pos", "item"))
+    words = F.size(F.filter(F.split(F.coalesce("item.text", F.lit("")), " "), lambda t: t != ""))
+    is_image = F.col("item.type") == "image"
+    return flat.select(conv, "pos", is_image.alias("is_image"), F.when(is_image, image_len).otherwise(words).alias("len"))

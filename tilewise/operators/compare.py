@@ -69,3 +69,8 @@ def heatmap(sims: DataFrame, layers: Sequence[int], value: str = "sim", prefix:
     """(step, l0, l1, ...): a row for each step, labelled 'k-1->k', a column for each layer of a given list."""
     named = sims.select(F.concat_ws("->", F.col("k") - 1, F.col("k")).alias("step"), F.concat(F.lit(prefix), F.col("layer")).alias("layer"), value)
     return named.groupBy("step").pivot("layer", [f"{prefix}{x}" for x in layers]).agg(F.first(value))
+
+
+def series(sims: DataFrame, by: str = "layer", key: str = "k", value: str = "sim") -> DataFrame:
+    """(by, series): a map from each key to its value, in the order of the keys; look-ups of other keys give null."""
+    return sims.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("series"))

@@ -49,8 +49,9 @@ def embedding_lookup(tokens: DataFrame, table: DataFrame, token: str = "token_id
 
 def penultimate(states: DataFrame, by: Sequence[str], layer: str, value: str) -> DataFrame:
     """(by, value): the value of the last layer but one; null with fewer than two."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(layer).alias("l"), F.col(value).alias("v"))))
-    return states.groupBy(*by).agg(listed.alias("a")).select(*by, F.try_element_at("a", F.lit(-2))["v"].alias(value))
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(layer).desc()))
+    last = states.select(*by, F.col(value).alias("_v"), back.alias("_n")).where("_n <= 2")  # limited below the shuffle
+    return last.groupBy(*by).agg(F.max(F.when(F.col("_n") == 2, F.col("_v"))).alias(value))
 
 
 def decode(tokens: Column | str, special: Sequence[str], limit: int | None = None, sep: str = " ") -> Column:
@@ -58,3 +59,11 @@ def decode(tokens: Column | str, special: Sequence[str], limit: int | None = Non
     c = F.col(tokens) if isinstance(tokens, str) else tokens
     kept = F.filter(c, lambda t: ~t.isin(*special)) if special else c
     return F.array_join(F.slice(kept, 1, limit) if limit is not None else kept, sep)
+
+
+def require(df: DataFrame, *names: str) -> DataFrame:
+    """df, if it has these columns; else an error that names the missing ones."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df

@@ -10,10 +10,21 @@ from pyspark.sql.window import Window
 
 
 def timing_summary(samples: DataFrame, by: Sequence[str], order: Sequence[str], warmup: int = 1, value: str = "elapsed_s") -> DataFrame:
-    """(by, n, mean_ms) over the samples after each run's first ``warmup``. A run with no more than these has no row."""
+    """(by, n, mean_ms) over the samples after each run's first ``warmup``. A run with no more than these has no row.
+
+    All samples are aggregated, and the first ones taken off again; only these are ranked, so that a hot run isn't sorted
+    in one task.
+    """
     at = Window.partitionBy(*by).orderBy(*order)
-    kept = samples.withColumn("_n", F.row_number().over(at)).where(F.col("_n") > warmup)
-    return kept.groupBy(*by).agg(F.count("*").alias("n"), (F.avg(value) * 1000).alias("mean_ms"))
+    first = samples.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= warmup)
+    both = samples.select(*by, F.col(value).alias("_v"), F.lit(1).alias("_w")).union(first.select(*by, F.col(value).alias("_v"), F.lit(-1).alias("_w")))
+    sums = both.groupBy(*by).agg(F.sum("_w").alias("n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))).alias("_m"), F.sum(F.col("_v") * F.col("_w")).alias("_s"))
+    return sums.where("n > 0").select(*by, "n", (F.try_divide("_s", "_m") * 1000).alias("mean_ms"))
+
+
+def gauge_readings(gauges: DataFrame, by: Sequence[str], order: Column, value: str = "bytes") -> DataFrame:
+    """(by, current_gb, peak_gib): the last reading in decimal GB, the largest in GiB."""
+    return gauges.groupBy(*by).agg((F.max_by(value, order) / 1e9).alias("current_gb"), (F.max(value) / 2**30).alias("peak_gib"))
 
 
 def peak_since_reset(gauges: DataFrame, by: Sequence[str], is_reset: Column, ts: str = "ts", value: str = "bytes") -> DataFrame:

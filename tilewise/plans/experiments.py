@@ -45,10 +45,15 @@ def incremental_experiment(embeddings: DataFrame, last: int = 25) -> DataFrame:
     return rows.groupBy("k", "layer").agg(F.avg(cosine(keep_prefix("full", F.col("k") - 1), keep_prefix("full", "k"))).alias("sim"), F.count("*").alias("n"))
 
 
-def kv_cache(embeddings: DataFrame, last: int = 25, base: int = 20) -> DataFrame:
-    """(k, layer, b, head, pos, key, value): keys and values are the even and odd elements of the masked vector; step k has base + k positions a layer."""
-    at = Window.partitionBy("label").orderBy("vec_id")
-    numbered = embeddings.select("label", "vec_id", "embedding", F.row_number().over(at).alias("pos"))
-    rows = numbered.where(F.col("pos") <= base + last).select(F.col("label").alias("layer"), "pos", F.col("embedding").alias("full"), F.explode(F.sequence(F.lit(1), F.lit(last))).alias("k"))
-    rows = rows.where(F.col("pos") <= base + F.col("k")).withColumn("vec", keep_prefix("full", "k"))
+def kv_cache(embeddings: DataFrame, last: int = 25) -> DataFrame:
+    """(k, layer, b, head, pos, key, value): keys and values are the even and odd elements of the masked vector; step k has all positions of a layer but the last ``last`` - k.
+
+    Only a layer's last positions are ranked; there are fewer than layers times ``last``, so they are broadcast.
+    """
+    back = F.row_number().over(Window.partitionBy("label").orderBy(F.col("vec_id").desc()))
+    tail = embeddings.select("label", "vec_id", back.alias("back")).where(F.col("back") < last)
+    rows = embeddings.select("label", "vec_id", "embedding").join(F.broadcast(tail), ["label", "vec_id"], "left")
+    first = F.greatest(F.lit(1), F.lit(last + 1) - F.coalesce("back", F.lit(last)))
+    rows = rows.select(F.col("label").alias("layer"), F.col("vec_id").alias("pos"), F.col("embedding").alias("full"), F.explode(F.sequence(first, F.lit(last))).alias("k"))
+    rows = rows.withColumn("vec", keep_prefix("full", "k"))
     return rows.select("k", "layer", F.lit(0).alias("b"), F.lit(0).alias("head"), "pos", every_other("vec", False).alias("key"), every_other("vec", True).alias("value"))

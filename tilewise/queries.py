@@ -64,8 +64,8 @@ _SETS = _SAMPLE + ", sets AS (SELECT k, trial, list(idx) AS tiles FROM sample GR
 _KEEP = "list_transform(v, lambda x, i: CASE WHEN (i - 1) // 8 < 5 AND (i - 1) % 8 < 5 AND list_contains(tiles, ((i - 1) // 8) * 5 + (i - 1) % 8) THEN x ELSE 0.0 END)"
 _TRIALS = f"""{_ROWS}, {_SETS}, kept AS (SELECT k, trial, layer, v, {_KEEP} AS m FROM base, sets),
     sims AS (SELECT k, trial, layer, avg({_cos("m", "v")}) AS sim FROM kept GROUP BY k, trial, layer)"""
-_KV = f"""{_ROWS}, numbered AS (SELECT layer, v, row_number() OVER (PARTITION BY layer ORDER BY pos) AS pos FROM base),
-    masked AS (SELECT k, layer, pos, {_mask("k")} AS m FROM numbered, (SELECT CAST(unnest(range(1, 26)) AS INTEGER) AS k) WHERE pos <= 20 + k),
+_KV = f"""{_ROWS}, numbered AS (SELECT layer, v, pos, row_number() OVER (PARTITION BY layer ORDER BY pos DESC) AS back FROM base),
+    masked AS (SELECT k, layer, pos, {_mask("k")} AS m FROM numbered, (SELECT CAST(unnest(range(1, 26)) AS INTEGER) AS k) WHERE back > 25 - k),
     cache AS (SELECT k, layer, pos, list_filter(m, lambda x, i: i % 2 = 1) AS key, list_filter(m, lambda x, i: i % 2 = 0) AS value FROM masked),
     sims AS (SELECT c.k, c.layer, avg({_cos("p.key", "c.key")}) AS key_sim, avg({_cos("p.value", "c.value")}) AS value_sim, count(*) AS n
              FROM cache c JOIN cache p ON p.k = c.k - 1 AND p.layer = c.layer AND p.pos = c.pos GROUP BY c.k, c.layer)"""
@@ -83,12 +83,12 @@ def prefix_similarity(spark, sf_dir):
     return X.prefix_experiment(_embeddings(spark, sf_dir)).select("k", "layer", *_r("sim"), "n")
 
 
-@query(f"WITH {_PREFIX} SELECT k, layer, round(sim, 6) AS sim, n FROM sims WHERE k <= 10")
+@query(f"WITH {_PREFIX} SELECT k, layer, round(sim, 6) AS sim, n FROM sims")
 def layer_comparison(spark, sf_dir):
     """The same by the operator on stored states, which checks shapes."""
     rows = _embeddings(spark, sf_dir)
     full = rows.select(F.col("label").alias("layer"), F.lit(0).alias("b"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
-    return compare.compare_layers(X.hidden_states(rows, (1, 5, 10)), full).select("k", "layer", *_r("sim"), "n")
+    return compare.compare_layers(X.hidden_states(rows, X.PREFIXES), full).select("k", "layer", *_r("sim"), "n")
 
 
 @query(f"WITH {_PREFIX} SELECT k, round(max_by(sim, layer), 6) AS sim FROM sims GROUP BY k")
@@ -286,11 +286,11 @@ def greedy_chunks(spark, sf_dir):
 
 
 @query("""
-    WITH tile AS (SELECT vec_id // 10 AS image_id, vec_id AS t, embedding[1:4] AS v FROM embeddings), j AS (SELECT image_id, flatten(list(v ORDER BY t)) AS v FROM tile GROUP BY image_id)
+    WITH tile AS (SELECT vec_id // 10 AS image_id, vec_id AS t, embedding AS v FROM embeddings), j AS (SELECT image_id, flatten(list(v ORDER BY t)) AS v FROM tile GROUP BY image_id)
     SELECT image_id, CAST(len(v) AS INTEGER) AS n, round(list_sum(list_transform(v, lambda x, i: CAST(x AS DOUBLE) * i)), 5) AS checksum FROM j
 """)
 def concat_tiles(spark, sf_dir):
-    parts = _embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("image_id"), "vec_id", F.slice("embedding", 1, 4).alias("v"))
+    parts = _embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("image_id"), "vec_id", F.col("embedding").alias("v"))
     joined = sequences.concat_ordered(parts, ["image_id"], "vec_id", "v")
     weighted = F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return joined.select("image_id", F.size("v").alias("n"), F.round(weighted, 5).alias("checksum"))
@@ -307,12 +307,14 @@ def pad_batch(spark, sf_dir):
 
 
 @query("""
-    SELECT o_orderkey, o_custkey AS token_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM orders LEFT JOIN embeddings ON vec_id = o_custkey
+    SELECT o_orderkey, o_custkey AS token_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 5) AS checksum
+    FROM orders LEFT JOIN embeddings ON vec_id = o_custkey
 """)
 def embedding_lookup(spark, sf_dir):
     tokens = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").withColumnRenamed("o_custkey", "token_id")
-    found = sequences.embedding_lookup(tokens, _table(spark, sf_dir, "embeddings", "vec_id", F.col("embedding")[0].cast("double").alias("first")), vec="first")
-    return found.select("o_orderkey", "token_id", *_r("first"))
+    found = sequences.embedding_lookup(tokens, _table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return found.select("o_orderkey", "token_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n"), F.round(weighted, 5).alias("checksum"))
 
 
 @query("""
@@ -353,8 +355,8 @@ def decode_answers(spark, sf_dir):
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    """(doc_id, tokens): the first 100 tokens of each document, as an answer is cut at 100."""
-    return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.slice(T.tokens("text"), 1, 100).alias("tokens"))
+    """(doc_id, tokens): each document's tokens, all of them."""
+    return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.tokens("text").alias("tokens"))
 
 
 def _quality(spark, sf_dir) -> DataFrame:
@@ -379,7 +381,7 @@ def method_comparison(spark, sf_dir):
 
 
 #: A prefix is a common subsequence as long as itself, so these scores need no table.
-_PREFIX_SCORES = f"""t AS (SELECT doc_id, {_TOKENS}[1:100] AS tokens FROM documents), p AS (SELECT doc_id, k, len(tokens) AS n, least(len(tokens), 4 * k) AS m FROM t, (SELECT unnest([5, 10, 15, 20, 25]) AS k)),
+_PREFIX_SCORES = f"""t AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents), p AS (SELECT doc_id, k, len(tokens) AS n, least(len(tokens), 4 * k) AS m FROM t, (SELECT unnest([5, 10, 15, 20, 25]) AS k)),
     s AS (SELECT doc_id, k, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * m / (n + m) END AS f1 FROM p)"""
 
 
@@ -396,10 +398,11 @@ def generation_quality(spark, sf_dir):
 
 @query(None)
 def rouge_l_pairs(spark, sf_dir):
-    """Each document against the one with the next doc_id, by an equi-join."""
-    t = _answers(spark, sf_dir)
-    after = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("tokens").alias("candidate"))
-    return t.join(after, "doc_id").select("doc_id", F.round(T.rouge_l(F.col("tokens"), F.col("candidate")), 6).alias("f1"))
+    """Each whole document against the one with the next doc_id, by an equi-join. Texts are joined before they become tokens, which are larger."""
+    t = _table(spark, sf_dir, "documents", "doc_id", "text")
+    after = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("candidate"))
+    both = t.join(after, "doc_id").select("doc_id", T.tokens("text").alias("tokens"), T.tokens("candidate").alias("candidate"))
+    return both.select("doc_id", F.round(T.rouge_l(F.col("tokens"), F.col("candidate")), 6).alias("f1"))
 
 
 @query(None)
@@ -421,3 +424,124 @@ def tile_mask_image(spark, sf_dir):
     """Vectors as 8 x 8 images, tiles masked on the bytes."""
     rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", images.raster_bytes("embedding").alias("data"), F.explode(F.array(F.lit(1), F.lit(10), F.lit(25))).alias("k"))
     return rows.select("vec_id", "k", F.hex(images.mask_prefix("data", F.lit(8), F.lit(8), "k")).alias("pixels"))
+
+
+_PREFILL = """items AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS pos, part = 0 AS is_image,
+        CASE WHEN part = 0 THEN 24 ELSE len(list_filter(string_split(coalesce(text, ''), ' '), lambda t: t <> '')) END AS len
+        FROM conversations, (SELECT unnest([0, 1]) AS part) WHERE part = 1 OR role = 'user')"""
+
+
+def _prefill(spark, sf_dir) -> DataFrame:
+    return chat.prefill_items(chat.messages(_table(spark, sf_dir, "conversations"), image_roles=("user",)))
+
+
+@query(f"WITH {_PREFILL} SELECT conv_id, CAST(pos AS INTEGER) AS pos, is_image, CAST(len AS INTEGER) AS len FROM items")
+def prefill_items(spark, sf_dir):
+    """What a prompt consists of: images and texts, told apart item by item."""
+    return _prefill(spark, sf_dir)
+
+
+@query(f"""
+    WITH RECURSIVE {_PREFILL}, f AS (
+        SELECT conv_id, pos, 0 AS chunk, len AS run, len FROM items WHERE pos = 0
+        UNION ALL SELECT i.conv_id, i.pos, CASE WHEN f.run >= 64 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.run >= 64 THEN i.len ELSE f.run + i.len END, i.len
+        FROM f JOIN items i ON i.conv_id = f.conv_id AND i.pos = f.pos + 1),
+    c AS (SELECT conv_id, chunk, sum(len) AS len FROM f GROUP BY conv_id, chunk)
+    SELECT conv_id, 'baseline' AS method, 1 AS calls, CAST(sum(len) AS BIGINT) AS longest, CAST(sum(len) AS BIGINT) AS cache_len FROM items GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'chunked', CAST(count(*) AS INTEGER), CAST(max(len) AS BIGINT), CAST(sum(len) AS BIGINT) FROM c GROUP BY conv_id
+""")
+def chunked_against_baseline(spark, sf_dir):
+    """A prompt in one call, and in chunks that never split an image: calls, the longest of them, and the cache in the end."""
+    items = _prefill(spark, sf_dir)
+    chunks = sequences.greedy_chunks(items, 64, seq="conv_id")
+    one = items.groupBy("conv_id").agg(F.lit("baseline").alias("method"), F.lit(1).alias("calls"), F.sum(F.col("len").cast("bigint")).alias("longest"), F.sum(F.col("len").cast("bigint")).alias("cache_len"))
+    many = chunks.groupBy("conv_id").agg(F.lit("chunked").alias("method"), F.count("*").cast("int").alias("calls"), F.max("len").alias("longest"), F.max("cache_len").alias("cache_len"))
+    return one.union(many)
+
+
+@query("""
+    WITH e AS (SELECT event_id, user_id, ts, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-10'),
+    called AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e WHERE event_type = 'click'),
+    runs AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e WHERE event_type = 'purchase'),
+    timed AS (SELECT user_id, count(*) AS n, avg(value) * 1000 AS mean_ms FROM runs WHERE n > 1 GROUP BY user_id)
+    SELECT c.user_id, c.event_id AS captured, t.n, round(t.mean_ms, 4) AS mean_ms FROM called c LEFT JOIN timed t ON c.user_id = t.user_id WHERE c.n = 1
+""")
+def gated_run(spark, sf_dir):
+    """Once the gate is open: the first call that it captures, and the mean time of the runs after a warm-up."""
+    e = sequences.require(_table(spark, sf_dir, "events"), "event_id", "user_id", "ts", "event_type", "value")
+    on = F.lit("2024-01-10").cast("timestamp_ntz")
+    first = timing.first_after_enable(e.where("event_type = 'click'"), on, ["user_id"], ["ts", "event_id"])
+    runs = e.where((F.col("event_type") == "purchase") & (F.col("ts") >= on)).withColumnRenamed("value", "elapsed_s")
+    timed = timing.timing_summary(runs, ["user_id"], ["ts", "event_id"])
+    return first.select("user_id", F.col("event_id").alias("captured")).join(timed, "user_id", "left").select("user_id", "captured", "n", *_r("mean_ms", digits=4))
+
+
+@query("""
+    WITH n AS (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'purchase')
+    SELECT event_id, user_id, 'INFER_' || (i - 1) AS name, cs * 10 AS elapsed_ms, printf('Iteration %02d: %d ms', i - 1, cs * 10) AS line FROM n
+""")
+def iteration_timing(spark, sf_dir):
+    """Each run of a user by name, with the line that a report has for it."""
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = _table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("i", F.row_number().over(at) - 1).withColumn("elapsed_ms", F.round(F.col("value") * 100).cast("bigint") * 10)
+    return n.select("event_id", "user_id", F.concat(F.lit("INFER_"), "i").alias("name"), "elapsed_ms", F.format_string("Iteration %02d: %d ms", "i", "elapsed_ms").alias("line"))
+
+
+@query(f"""
+    WITH {_PREFIX}, named AS (SELECT k, layer, CAST(round(sim * 10000) AS BIGINT) AS s FROM sims)
+    SELECT k, layer, 'Attention_Layer_' || layer AS attention, 'MLP_Layer_' || layer AS mlp, printf('Layer %02d: %d.%04d', layer, s // 10000, s % 10000) AS line FROM named WHERE s >= 0
+""")
+def layer_report(spark, sf_dir):
+    """Names of a layer's parts and a line of text for each similarity that isn't negative."""
+    s = F.round(F.col("sim") * 10000).cast("bigint")
+    named = X.prefix_experiment(_embeddings(spark, sf_dir)).withColumn("s", s).where("s >= 0")
+    line = F.format_string("Layer %02d: %d.%04d", F.col("layer"), F.floor(F.col("s") / 10000), F.col("s") % 10000)
+    return named.select("k", "layer", F.concat(F.lit("Attention_Layer_"), "layer").alias("attention"), F.concat(F.lit("MLP_Layer_"), "layer").alias("mlp"), line.alias("line"))
+
+
+@query(f"""
+    WITH {_PREFIX} SELECT layer, CAST(count(*) AS INTEGER) AS n, round(max(sim) FILTER (WHERE k = 1), 6) AS at_1, round(max(sim) FILTER (WHERE k = 25), 6) AS at_25, CAST(NULL AS DOUBLE) AS at_2 FROM sims GROUP BY layer
+""")
+def layer_series(spark, sf_dir):
+    """Each layer's similarities as a map by k, and what it has for some k."""
+    s = compare.series(X.prefix_experiment(_embeddings(spark, sf_dir)))
+    at = lambda k: F.round(F.try_element_at("series", F.lit(k)), 6).alias(f"at_{k}")
+    return s.select("layer", F.size("series").alias("n"), at(1), at(25), at(2))
+
+
+@query("""
+    WITH t AS (SELECT conv_id, turn, role, text, max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations),
+    asked AS (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || CASE WHEN role = 'user' THEN '<image>' || chr(10) ELSE '' END || coalesce(text, '') || chr(10), '' ORDER BY turn) || '<|assistant|>' || chr(10) AS prompt
+              FROM t WHERE last IS NULL OR turn < last GROUP BY conv_id)
+    SELECT a.conv_id, a.prompt, array_to_string(list_filter(string_split(coalesce(t.text, ''), ' '), lambda x: x NOT IN ('the', 'and'))[1:20], ' ') AS answer
+    FROM asked a JOIN t ON t.conv_id = a.conv_id AND t.turn = t.last
+""")
+def single_inference(spark, sf_dir):
+    """The prompt before a conversation's last answer, and the first answer of the batch of one, decoded."""
+    turns = _table(spark, sf_dir, "conversations")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    both = turns.join(last, "conv_id", "left")
+    asked = chat.messages(both.where("last is null or turn < last"), image_roles=("user",)).select("conv_id", chat.prompt().alias("prompt"))
+    batch = both.where("turn = last").groupBy("conv_id").agg(F.collect_list(F.split(F.coalesce("text", F.lit("")), " ")).alias("batch"))
+    return asked.join(batch, "conv_id").select("conv_id", "prompt", sequences.decode(F.element_at("batch", 1), ("the", "and"), 20).alias("answer"))
+
+
+@query("""
+    SELECT user_id, round(max_by(value, (ts, event_id)) / 100, 6) AS current_gb, round(max(value) * 1e7 / 1073741824, 6) AS peak_gib FROM events GROUP BY user_id
+""")
+def gauge_readings(spark, sf_dir):
+    """Memory by user: what it is now, in decimal GB, and its peak, in GiB; a unit of value is 10 MB."""
+    g = _table(spark, sf_dir, "events", "user_id", "ts", "event_id", (F.col("value") * 1e7).alias("bytes"))
+    return timing.gauge_readings(g, ["user_id"], F.struct("ts", "event_id")).select("user_id", *_r("current_gb", "peak_gib"))
+
+
+@query("""
+    WITH r AS (SELECT CAST(i AS BIGINT) AS req_id, CAST(i // 16 AS INTEGER) AS batch, (i // 16) * 2.0 * 1.01 AS start FROM range(0, 1000) t(i))
+    SELECT 'BATCH_16' AS name, count(*) AS n, round(avg(start + 0.02), 4) AS ttft_avg, round(quantile_cont(start + 0.02, 0.95), 4) AS ttft_p95, round(avg(start + 2.02), 4) AS latency_avg,
+           round(quantile_cont(start + 2.02, 0.95), 4) AS latency_p95, round(count(*) * 20.0 / max(start + 2.02), 6) AS throughput FROM r
+""")
+def burst_metrics(spark, sf_dir):
+    """A generated burst of 1,000 requests with one arrival, in batches of 16 of two seconds each."""
+    burst = serving.build_requests(spark, 1000, 0.0).select("req_id", "arrival_time", F.lit("BATCH_16").alias("name"), F.lit(2.0).alias("seconds"))
+    m = serving.request_metrics(serving.serve(serving.assign_batches(burst, 16, ["name"]), F.max("seconds"), ["name"]), ["name"])
+    return m.select("name", "n", *_r("ttft_avg", "ttft_p95", "latency_avg", "latency_p95", digits=4), *_r("throughput"))
