@@ -44,6 +44,39 @@ def test_targets_and_sums(spark, seed):
     assert sorted(map(str, got)) == sorted(map(str, M.copies(df.repartition(5), seed=seed).collect()))
 
 
+def test_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
+    sizes = Counter()
+    for r in docs:
+        sizes[r.source] += size[r.doc_id]
+    want, source = filled(sizes), {r.doc_id: r.source for r in docs}
+    got = M.op9_mixing(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(size)
+    taken, largest = Counter(), Counter()
+    for r in got:
+        s = source[r.doc_id]
+        assert (r["size"], r.source_size) == (size[r.doc_id], sizes[s]) and r.target == pytest.approx(want[s])
+        assert r.taken <= 2 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+        taken[s] += r.taken
+        largest[s] = max(largest[s], r["size"])
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+
+
+def test_many_equal_rows_and_rows_without_id(spark):
+    rows = [(None, "a b c", "x")] * 3000 + [(7, "d e", "x")] * 10_000 + [(i, "w " * (i % 9), "y") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = M.copies(df, share=0.9, weights=(1, 1)).collect()
+    assert len(got) == len(rows)
+    for s in "xy":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r["size"] * r.copies for r in mine) - mine[0].target) <= 4.5
+    hot = [r.copies for r in got if r.doc_id == 7 and r.source == "x"]
+    assert max(hot) - min(hot) <= 1 and len(hot) == 10_000
+    assert M.mix(df, share=0.9, weights=(1, 1)).count() == sum(r.copies for r in got)
+
+
 def test_every_document_keeps_its_probability(spark):
     rows = [(i, "w " * (1 + i), "s" if i < 8 else "t") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -118,3 +118,50 @@ def test_url_rows_of_all_kinds(spark):
     labelled = spark.createDataFrame([(f"http://bad.com/{i}", 1) for i in range(50)] + [(f"http://good.org/{i}", 0) for i in range(50)] + [(None, 1)], "url string, label int")
     got = {r.url: r.verdict for r in U.judge(spark.createDataFrame([("http://bad.com/x",), ("http://good.org/x",)], "url string"), rules=(), labelled=labelled).collect()}
     assert got == {"http://bad.com/x": "block", "http://good.org/x": "allow"}
+
+
+def test_warc_query_against_brute_force(spark, tmp_path):
+    import base64
+    import hashlib
+
+    from tilewise.llm import warc
+
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rows += [(10_000 + i, f"http://copy.example/{i} ü", rows[i % 7][2]) for i in range(40)] + [(20_000, None, None), (20_001, "x", ""), (20_002, "y", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    first = {}
+    for page, _, html in sorted(rows, key=lambda r: r[0]):
+        first.setdefault(html or "", page)
+    want = {}
+    for page, _, html in rows:
+        raw = (html or "").encode()
+        one = first[html or ""]
+        want[page] = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if one == page else "revisit", None if one == page else one)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op3_warc(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_url_query_against_brute_force(spark):
+    from tilewise.llm import urlfilter
+
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    d = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in urlfilter.op5_url_filter(spark, d).collect()}
+    pages = spark.read.parquet(f"{d}/pages.parquet").collect()
+    assert sorted(got) == sorted(p.page_id for p in pages)
+    for p in pages:
+        host = path = ""
+        if p.url is not None and "://" in p.url:
+            rest = p.url.split("://", 1)[1]
+            end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+            path = rest[end:]
+            path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+        fits = [(len(h) + len(q), v, h + q) for v, h, q in rules if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        r = got[p.page_id]
+        assert (r.host, r.path) == (host, path) and r.verdict in ("allow", "block")
+        if fits:
+            _, verdict, rule = max(fits)
+            assert (r.rule, r.verdict) == (rule, verdict)
+        else:
+            assert r.rule is None

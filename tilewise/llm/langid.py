@@ -77,13 +77,16 @@ def _grams(text: str):
 
 
 def _pieces(text: str) -> Iterable[tuple[int, str]]:
-    """Parts of a text that end outside of words, with their places; a word longer than a block is cut."""
+    """Parts of a text that end outside of words, with their places; a word longer than a block is a part of its own."""
     kind, at = _chars()[0], 0
     while len(text) - at > BLOCK:
         end = at + BLOCK
         while end > at and kind[ord(text[end])]:
             end -= 1
-        end = end if end > at else at + BLOCK
+        if end == at:
+            end = at + BLOCK
+            while end < len(text) and kind[ord(text[end])]:
+                end += 1
         yield at, text[at:end]
         at = end
     yield at, text[at:]

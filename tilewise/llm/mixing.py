@@ -6,6 +6,9 @@ that one of them stands for (size times probability) goes to the other until one
 The direction is drawn so that every document keeps its probability, and words are moved, not counts, so a source's
 sum stays its target up to the last document that is left.
 
+Rows that agree in source, id and size are one unit: as many of them as their probabilities sum up to are certain, and
+what is left over is the unit's probability. So no hash is shared, however often a row repeats.
+
 Documents meet in blocks of about ``BLOCK``, drawn by a hash; each block is folded into decisions and at most one
 undecided document. Undecided ones meet in blocks again, a tree with log(documents)/log(BLOCK) levels, down to one a
 source, which is rounded to the nearer side. Within a block the largest meet first, so that small ones are left to
@@ -26,6 +29,8 @@ from tilewise.llm import scratch
 
 #: Documents that meet in a block, on average; weights, the share of all words that is mixed, and copies at most.
 BLOCK, WEIGHTS, SHARE, MOST = 128, (3, 1, 2), 1.5, 2.0
+#: Sources up to which their targets, a row each, are broadcast.
+SOURCES = 10_000
 _WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 _UNIT = "struct<size:bigint,h:bigint,id:{id},p:double>"
 _FOLD = """
@@ -79,20 +84,18 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return w.select("source", "source_size", "n", F.when(F.col("full"), F.col("source_size") * F.lit(float(most))).otherwise(level * F.col("w")).alias("target"))
 
 
-def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
-    """(id, source, size, source_size, target, copies): how often the mix takes each row of df, whole.
-
-    Null, empty and blank texts have size 0 and no copies. Null is a source of its own, after the others. Repeated rows
-    and rows with one id are documents of their own; ids may be null. An empty table gives an empty result. Other
-    columns of df are not read.
-    """
+def _counts(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
+    """(source, source_size, target, id, size, rows, base, extra): how many rows there are, the copies of each, and how many get one more."""
     kind = df.schema[id_col].dataType.simpleString()
-    units = scratch.save(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size")), "sizes")
-    shares = scratch.save(targets(units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most), "targets")
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
+    units = scratch.save(rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
+    shares = scratch.save(targets(sums, weights, share, most), "targets")
     keys = ["source", "source_size", "target", "base", "n"]
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    both = units.join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    both = both.withColumn("ratio", F.round(ratio, 12)).withColumn("base", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.col("base"))
+    both = units.join(F.broadcast(shares.withColumnRenamed("source", "s")) if shares.count() <= SOURCES else shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    both = both.withColumn("ratio", F.round(ratio, 12)).withColumn("base", F.floor("ratio").cast("int"))
+    both = both.withColumn("sum", F.round((F.col("ratio") - F.col("base")) * F.col("rows"), 9)).withColumn("whole", F.floor("sum")).withColumn("p", F.col("sum") - F.col("whole"))
     fixed = (F.col("size") == 0) | (F.col("p") == 0)
     out = [both.where(fixed).select(*keys, "id", "size", F.lit(0).alias("pick"))]
     rest = both.where(~fixed).select(*keys, F.struct(F.col("size"), F.xxhash64(F.col("id"), F.col("size"), F.lit(seed)).alias("h"), F.col("id"), F.col("p")).alias("unit"))
@@ -112,24 +115,43 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     all_ = out[0]
     for x in out[1:]:
         all_ = all_.union(x)
-    count = F.when(F.col("size") > 0, F.col("base") + F.col("pick")).otherwise(0)
-    return all_.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", count.cast("int").alias("copies"))
+    picks = all_.select(F.col("id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "pick")
+    same = F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    some = F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("base")
+    extra = F.when(F.col("size") > 0, F.col("whole") + F.col("pick")).otherwise(0).cast("bigint").alias("extra")
+    return both.join(picks, same).select("source", "source_size", "target", "id", "size", "rows", some, extra)
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
+    """(id, source, size, source_size, target, copies): how often the mix takes each row of df, whole.
+
+    Null, empty and blank texts have size 0 and no copies. Null is a source of its own, after the others. Repeated rows
+    and rows with one id are documents of their own; ids may be null. Texts of any length are counted whole. An empty
+    table gives an empty result. Other columns of df are not read.
+    """
+    counts = _counts(df, id_col, text_col, source_col, weights, share, most, seed)
+    each = counts.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    n = (F.col("base") + (F.col("at") <= F.col("extra")).cast("int")).alias("copies")
+    return each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", n)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """The rows of df that the mix takes, each as often as ``copies`` says, all columns as they are.
 
-    Rows that share an id get the counts of that id in the order of their sizes. Rows with a null id are matched among
-    themselves likewise.
+    Of rows that agree in id, source and size, those with the least hash of the text are taken once more.
     """
     own = scratch.prefix(df)
-    id_, key, size, n, list_ = (f"{own}{x}" for x in ("id", "key", "size", "n", "counts"))
-    counts = copies(df, id_col, text_col, source_col, **how)
-    lists = counts.groupBy(F.col(id_col).alias(id_)).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias(list_))
-    keyed = df.select("*", F.col(id_col).alias(key), words(text_col).alias(size)).withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(size)))
-    both = keyed.join(lists, F.col(key).eqNullSafe(F.col(id_)))
-    taken = both.withColumn(n, F.element_at(list_, F.col(n))["copies"]).where(F.col(n) > 0)
-    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[f"`{c}`" for c in df.columns])
+    names = ["id", "source", "size", "rows", "base", "extra"]
+    counts = scratch.save(_counts(df, id_col, text_col, source_col, weights, share, most, seed).select(*[F.col(c).alias(f"{own}{c}") for c in names]), "counts")
+    keyed = df.withColumn(f"{own}z", words(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(f"{own}id")) & F.col(source_col).eqNullSafe(F.col(f"{own}source")) & (F.col(f"{own}z") == F.col(f"{own}size"))
+    taken = (F.col(f"{own}base") > 0) | (F.col(f"{own}extra") > 0)
+    both = keyed.join(counts.where(taken), same)
+    at = F.lit(1)
+    if not counts.where((F.col(f"{own}rows") > 1) & taken).isEmpty():
+        at = F.row_number().over(Window.partitionBy(f"{own}id", f"{own}source", f"{own}size").orderBy(F.xxhash64(text_col)))
+    both = both.withColumn(f"{own}n", F.col(f"{own}base") + (at <= F.col(f"{own}extra")).cast("int")).where(F.col(f"{own}n") > 0)
+    return both.withColumn(f"{own}n", F.explode(F.sequence(F.lit(1), F.col(f"{own}n")))).select(*[f"`{c}`" for c in df.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

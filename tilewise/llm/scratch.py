@@ -42,6 +42,9 @@ def root(spark: SparkSession) -> str:
         _roots[app] = f"{base.rstrip('/')}/tilewise-{app}-{uuid.uuid4().hex[:8]}"
         if _roots[app].startswith("file:"):
             atexit.register(shutil.rmtree, "/" + _roots[app].removeprefix("file:").lstrip("/"), True)
+        else:  # the driver's JVM removes it when it ends
+            where = spark._jvm.org.apache.hadoop.fs.Path(_roots[app])
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return _roots[app]
 
 

@@ -3,7 +3,7 @@
 The trees are learned from labelled URLs: rows that a rule covers, or rows that the caller labels. Features are lengths, path depth, shares of
 digits and of other signs, entropy of the characters, parameters, labels of the host, and for the host's suffixes and
 the path's first parts how often labelled URLs with them were blocked (smoothed counts, also learned). At most
-``SAMPLE`` labelled rows (expected number, by a hash of the URL) are fitted on the driver; the model is a few kilobytes
+``SAMPLE`` labelled rows (expected number, by a hash of the URL; never more than twice that) are fitted on the driver; the model is a few kilobytes
 and is broadcast. Every URL is scored where it is read, without a shuffle.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tilewise.llm import scratch
 
-#: Labelled URLs to learn from, trees, depth, bins of a feature, rate, rows of a leaf at least, what counts of suffixes are smoothed by, suffixes kept.
-SAMPLE, TREES, DEPTH, BINS, RATE, LEAF, SMOOTH, SUFFIXES = 20_000, 40, 3, 32, 0.2, 5, 4.0, 20_000
+#: Labelled URLs to learn from, trees, depth, bins of a feature, rate, rows of a leaf at least, what counts of suffixes are smoothed by, parts of the rows of which each takes its counts from the others.
+SAMPLE, TREES, DEPTH, BINS, RATE, LEAF, SMOOTH, FOLDS = 20_000, 40, 3, 32, 0.2, 5, 4.0, 4
 #: (verdict, host, path) of the registered query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("allow", "net", "/de/"), ("block", "org", "/es/"))
 
@@ -132,14 +132,16 @@ def train(rows: Sequence[tuple[str, str, str, int]]) -> Trees:
     model = Trees(math.log(base / (1 - base)), [], {}, base)
     if len(set(y)) < 2:
         return model
-    seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for _, host, path, v in rows:
-        for k in keys(host, path):
-            seen[k][0] += v
-            seen[k][1] += 1
-    top = sorted(seen, key=lambda k: (-seen[k][1], k))[:SUFFIXES]
-    model.rates = {k: (seen[k][0] + SMOOTH * base) / (seen[k][1] + SMOOTH) for k in top if seen[k][1] > 1}
-    x = model.features(*(list(c) for c in list(zip(*rows))[:3]))
+    seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros((FOLDS, 2)))
+    of = [keys(host, path) for _, host, path, _ in rows]
+    for i, (own, v) in enumerate(zip(of, y)):
+        for k in own:
+            seen[k][i % FOLDS] += v, 1
+    total = {k: c.sum(0) for k, c in seen.items()}
+    model.rates = {k: (v + SMOOTH * base) / (n + SMOOTH) for k, (v, n) in total.items() if n > 1}
+    # A row's own label, and its part's, is no evidence for it.
+    others = [[(total[k][0] - seen[k][i % FOLDS][0] + SMOOTH * base) / (total[k][1] - seen[k][i % FOLDS][1] + SMOOTH) for k in own] for i, own in enumerate(of)]
+    x = np.array([lexical(*r[:3]) + o for r, o in zip(rows, others)], dtype=np.float64)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], 1)
     for _ in range(TREES):

@@ -16,6 +16,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -42,7 +43,7 @@ def record(page, url: str | None, payload: bytes, sha1: str, refers_to=None, dat
     """One record: a response with its payload, or, if refers_to is given, a revisit of that page without it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    uri = "".join(c for c in url or "" if c.isprintable() and c != " ")
+    uri = "".join(c if c.isprintable() and c != " " else quote(c, safe="", errors="surrogatepass") for c in url or "")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{sha1}",
         *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]),
@@ -147,7 +148,8 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
 
     Payload: the text in UTF-8; null: empty. Of rows with equal payloads of ``min_bytes`` at least, that with the
     smallest id is a response and the others revisit it; repeated rows of that id are responses, too. Rows with a null
-    id can be revisits, and responses if no other row has their payload. An empty table gives no archive.
+    id can be revisits, and responses if no other row has their payload. Spaces and unprintable characters of a URL are
+    percent-encoded; a null URL is empty. A payload of any length is one record. An empty table gives no archive.
     """
     ids = F.col(id_col).cast("bigint")
     text = F.coalesce(F.col(html_col), F.lit(""))
