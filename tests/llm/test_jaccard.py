@@ -73,3 +73,37 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
         y = np.unique(np.concatenate([x[: len(x) * 9 // 10], rng.integers(-(2**63), 2**63 - 1, max(1, n // 5))]))
         assert J.apart(J.bitmap(x), J.bitmap(x)) == 0
         assert J.apart(J.bitmap(x), J.bitmap(y)) <= len(np.setxor1d(x, y))
+
+
+def test_crowded_shingles_lose_no_pair(spark, monkeypatch):
+    """Every shingle that more than two nodes deal is split by second shingles, then in parts; common ones skip buckets."""
+    rnd = random.Random(1)
+    stock = [" ".join(f"l{k}x{i}" for i in range(12)) for k in range(25)]
+    texts = [" ".join(rnd.sample(stock, 6)) for _ in range(60)]
+    texts += [edited(rnd, t.split(), n) for t in texts[:30] for n in (1, 2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], KIND).repartition(4)
+    label = groups(texts)
+    want = [i for i in range(len(texts)) if label[i] == i]
+    monkeypatch.setattr(J, "BITS", 0)
+    monkeypatch.setattr(J, "HOT", 8)
+    sizes, pairs = [], J._lists
+
+    def lists(shared, once):
+        out = pairs(shared, once)
+        sizes.append(out.groupBy("token", "block").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(J, "_lists", lists)
+    for crowd in (2, 1024):
+        monkeypatch.setattr(J, "CROWD", crowd)
+        assert sorted(r.doc_id for r in C.near_copies(spark, docs, "").collect()) == want, crowd
+    assert sizes[0] < sizes[1]
+
+
+def test_sets_similar_enough_share_two_shingles_of_their_prefixes():
+    rng, none = np.random.default_rng(1), np.zeros(0, np.int64)
+    for n in (4, 5, 9, 10, 50, 301):
+        for _ in range(50):
+            x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            y = np.delete(x, rng.choice(n, n - -(-4 * n // 5), replace=False))
+            assert len(np.intersect1d(J.prefix(x, none, none, 2), J.prefix(y, none, none, 2))) >= 2
