@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewise.llm import ann, bpe, conversations, embed_dedup, langid, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
+from tilewise.llm import ann, bpe, conversations, embed_dedup, langid, lexical, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": ann.op8_ann,
         "op9_mixing": mixing.op9_mixing,
         "op10_langid": langid.op10_langid,
+        "op12_lexical_search": lexical.op12_lexical_search,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.op2_sql(), "op4_embedding_dedup": embed_dedup.OP4_SQL}
+    return {"op2_sharding": sharding.op2_sql(), "op4_embedding_dedup": embed_dedup.OP4_SQL, "op12_lexical_search": lexical.OP12_SQL}
