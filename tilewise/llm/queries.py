@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewise.llm import ann, bpe, conversations, embed_dedup, langid, lexical, mixing, sharding, simhash, suffix_dedup, urlfilter, warc
+from tilewise.llm import ann, bpe, conversations, embed_dedup, langid, lexical, mixing, ngram_lm, sharding, simhash, suffix_dedup, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": ann.op8_ann,
         "op9_mixing": mixing.op9_mixing,
         "op10_langid": langid.op10_langid,
+        "op11_lm_score": ngram_lm.op11_lm_score,
         "op12_lexical_search": lexical.op12_lexical_search,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
