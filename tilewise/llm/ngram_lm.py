@@ -48,19 +48,26 @@ def pieces(raw: bytes):
         at = end
 
 
+class _Places(dict):
+    """The place of each word, a new one for one that isn't there."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self) + 1
+        return at
+
+
 class _Chunk:
     """Texts that become a chunk. Place 0 is before the first word, 1 the end."""
 
     def __init__(self):
-        self.place: dict[bytes, int] = {b"": 1}
+        self.place = _Places({b"": 1})
         self.tokens: list[np.ndarray] = []
         self.meta: list[tuple] = []
         self.size = 0
 
     def add(self, uid: int, doc: int | None, train: bool, before: tuple, words: list[bytes]) -> None:
-        known, many = self.place.setdefault, self.place
-        old = [known(w, len(many) + 1) if w else 0 for w in before]
-        at = np.array([known(w, len(many) + 1) for w in words], np.int64)
+        old = [self.place[w] if w else 0 for w in before]
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         self.tokens.append(at)
         self.meta.append((uid, doc or 0, doc is None, train, *old, len(at)))
         self.size += sum(map(len, words)) + len(words) + 1
@@ -253,15 +260,9 @@ def _answers(table: pa.Table) -> pa.Table:
     v, u, w, often = (np.concatenate(x) for x in zip(*parts))
     del parts, blobs
     train = np.flatnonzero(often)
-    (vs, v1), (us, u1), (ws, w1) = (np.unique(x[train], return_inverse=True) for x in (v, u, w))
-    key, at = np.unique((v1.reshape(-1) * len(us) + u1.reshape(-1)) * len(ws) + w1.reshape(-1), return_inverse=True)
-    count = np.bincount(at.reshape(-1), weights=often[train], minlength=len(key)).astype(np.int64)
-    del v1, u1, w1, at
-    pair = key // max(1, len(ws))
-    trie = Trie.mapped(Trie.build(vs[pair // max(1, len(us))], us[pair % max(1, len(us))], ws[key % max(1, len(ws))], count))
-    out = []
-    for a, b in zip(n[:-1], n[1:]):
-        out.append(pack(*trie.probabilities(v[a:b], u[a:b], w[a:b])))
+    trie = Trie.mapped(Trie.build(v[train], u[train], w[train], often[train]))
+    codes = trie.probabilities(v, u, w)
+    out = [pack(*(c[a:b] for c in codes)) for a, b in zip(n[:-1], n[1:])]
     return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "blob": pa.array(out, pa.binary())})
 
 

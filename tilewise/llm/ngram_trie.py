@@ -68,24 +68,28 @@ class EliasFano:
         (self.n, self.universe, self.bits), self.low, self.high = head, low, high
         ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
         self.ones = np.concatenate([[0], ones[:-1]])  # before each word
-        self.zeros = np.arange(len(high)) * 64 - self.ones
+        self._ends: np.ndarray | None = None
+
+    def _buckets(self) -> np.ndarray:
+        """Before each bucket of high bits and after the last: how many numbers there are. Made from the mapped bits at the first search."""
+        if self._ends is None:
+            zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little") == 0)
+            self._ends = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.uint32 if self.n < 1 << 32 else np.int64)
+        return self._ends
 
     def _one(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, k, side="right") - 1
         return word * 64 + _nth(self.high[word], k - self.ones[word])
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        return word * 64 + _nth(~self.high[word], k - self.zeros[word])
-
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.int64)
         place = i * self.bits
-        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        word, shift = place >> 6, (place & 63).view(np.uint64)
         x = self.low[word] >> shift
-        x |= np.where(shift > 0, self.low[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return (x & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        x |= self.low[word + 1] << np.uint64(1) << (np.uint64(63) - shift)  # in two steps, as a shift by 64 isn't one
+        x &= np.uint64((1 << self.bits) - 1)
+        return x.view(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places."""
@@ -101,33 +105,50 @@ class EliasFano:
             return out
         y = y[ask]
         high, low = y >> self.bits, y & ((1 << self.bits) - 1)
-        end = self._zero(high) - high
-        lo = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - (high - 1), 0)
-        hi = end.copy()
-        live = np.flatnonzero(lo < hi)
-        while len(live):  # the first of the bucket that isn't less
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._low(mid) < low[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        at = np.flatnonzero(lo < end)
-        at = at[self._low(lo[at]) == low[at]]
-        out[ask[at]] = lo[at]
+        ends = self._buckets()
+        lo, hi = ends[high].astype(np.int64), ends[high + 1].astype(np.int64)
+        some = np.flatnonzero(lo < hi)
+        ask, lo, hi, low = ask[some], lo[some], hi[some], low[some]
+        end = hi
+        at, l, h, t = np.arange(len(ask)), lo, hi, low
+        while len(at):  # the first of the bucket that isn't less
+            mid = (l + h) >> 1
+            less = self._low(mid) < t
+            l, h = np.where(less, mid + 1, l), np.where(less, h, mid)
+            done = l >= h
+            lo[at[done]] = l[done]
+            left = ~done
+            at, l, h, t = at[left], l[left], h[left], t[left]
+        some = np.flatnonzero(lo < end)
+        some = some[self._low(lo[some]) == low[some]]
+        out[ask[some]] = lo[some]
         return out
 
 
 SEQUENCES, CODES = ("words", "next_ptr", "before_ptr", "base", "next", "before", "triples"), ("next_p", "word_rest", "before_rest", "triple_p")
 
 
+def spread(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers below 2^bits in another order, which leaves no part of a level crowded where frequent words have small numbers."""
+    return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 class Trie:
     """Levels over one mapped buffer. ``probabilities`` answers for many contexts at once."""
 
     @staticmethod
     def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
-        """The levels of distinct triples (u before v before w) with counts above 0, in the order of (v, u, w)."""
+        """The levels of triples (u before v before w) with counts above 0, in any order; counts of equal ones add up."""
+        names = int(max(u.max(initial=0), w.max(initial=0))).bit_length()
+        u, w, most = spread(u, names), spread(w, names), 1 << names
+        if int(v.max(initial=0)).bit_length() + 2 * names < 63:
+            order = np.argsort(v << 2 * names | u << names | w)
+        else:
+            order = np.lexsort((w, u, v))
+        v, u, w, count = v[order], u[order], w[order], count[order]
+        first = np.flatnonzero((np.diff(v, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+        v, u, w, count = v[first], u[first], w[first], np.add.reduceat(count, first) if len(first) else count
         n = len(v)
-        most = int(max(u.max(initial=0), w.max(initial=0))) + 1
         first = np.flatnonzero(np.diff(v, prepend=-1))
         words = v[first]
         at = np.repeat(np.arange(len(words)), np.diff(np.append(first, n)))
@@ -153,7 +174,7 @@ class Trie:
             (words, int(words.max(initial=0)) + 1), (next_ptr, len(pair) + 1), (before_ptr, len(run) + 1), (base, int(base[-1]) + 1),
             (pair, len(words) * most + 1), (before, len(words) * most + 1), (triples, int(base[-1]) + 1),
         )
-        head, body, size = {"most": most}, [], 0
+        head, body, size = {"names": names}, [], 0
         for name, (x, universe) in zip(SEQUENCES, sequences):
             numbers, low, high = EliasFano.encode(x, universe)
             head[name] = [numbers, size, len(low), size + low.nbytes, len(high)]
@@ -176,7 +197,7 @@ class Trie:
             setattr(self, name, EliasFano(numbers, view(np.uint64, low, n_low), view(np.uint64, high, n_high)))
         for name in CODES:
             setattr(self, name, view(np.uint8, *head[name]))
-        self.most = head["most"]
+        self.names = head["names"]
 
     @classmethod
     def open(cls, file: BinaryIO) -> Trie:
@@ -192,7 +213,7 @@ class Trie:
 
     def probabilities(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Codes of (w's share after u v, what u v leaves, w's share after v, what v leaves); a context that isn't there leaves all."""
-        n = len(v)
+        n, most = len(v), 1 << self.names
         share3, rest3, share2, rest2 = (np.full(n, x, np.uint8) for x in (0, 1, 0, 1))
         if not n or not self.words.n:
             return share3, rest3, share2, rest2
@@ -202,12 +223,12 @@ class Trie:
         begin, end, ahead, base = self.next_ptr[there], self.next_ptr[there + 1], self.before_ptr[there], self.base[there]
         of = np.repeat(np.arange(len(run)), np.diff(np.append(run, n)))
         known = np.flatnonzero(word[of] >= 0)
-        of, u, w = of[known], u[known], w[known]
+        of, u, w = of[known], *(np.where(x < most, spread(x, self.names), -1) for x in (u[known], w[known]))
         rest2[known] = self.word_rest[word[of]]
-        after = self.next.find(np.where(w < self.most, word[of] * self.most + w, -1))
+        after = self.next.find(np.where(w >= 0, word[of] * most + w, -1))
         share2[known] = np.where(after >= 0, self.next_p[np.maximum(after, 0)] if len(self.next_p) else 0, 0)
         change = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0))
-        pair = self.before.find(np.where(u[change] < self.most, word[of[change]] * self.most + u[change], -1))
+        pair = self.before.find(np.where(u[change] >= 0, word[of[change]] * most + u[change], -1))
         pair = np.repeat(pair, np.diff(np.append(change, len(u))))
         seen = np.flatnonzero(pair >= 0)
         rest3[known[seen]] = self.before_rest[pair[seen]]
