@@ -131,3 +131,32 @@ def test_long_strings_against_brute_force(spark, n):
     rows = [(d, "".join(rnd.choice("xyz ") for _ in range(rnd.randrange(n))) + rnd.choice(shared)[rnd.randrange(n) :] + rnd.choice(shared), "x") for d in range(40)]
     want = brute([(d, t.encode()) for d, t, _ in rows], n)
     assert kept(spark, rows, n) == {d: w.decode() for d, w in want.items()}
+
+
+def by_row(rows, n):
+    """The kept bytes of rows (id, text): what a smaller id has goes, whatever rows of the same id have."""
+    first = {}
+    for d, t in sorted(rows, key=lambda x: x[0]):
+        for i in range(len(t) - n + 1):
+            first.setdefault(t[i : i + n], d)
+    out = []
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - n + 1):
+            if first[t[i : i + n]] < d:
+                gone[i : i + n] = True
+        out.append((d, bytes(b for b, g in zip(t, gone) if not g).decode()))
+    return sorted(out)
+
+
+def test_rows_of_one_id_keep_what_is_theirs(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    p, v = word(120), word(150)
+    df = spark.createDataFrame([(1, p), (2, p + "tail"), (2, v)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in S.remove_repeats(df).collect()) == sorted([(1, p), (2, "tail"), (2, v)])
+    shared = [word(rnd.randrange(40, 160)) for _ in range(6)]
+    rows = [(rnd.randrange(12), "".join(rnd.choice(shared) if rnd.random() < 0.5 else word(rnd.randrange(90)) for _ in range(rnd.randrange(5)))) for _ in range(70)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.text) for r in S.remove_repeats(df).collect()) == by_row([(d, t.encode()) for d, t in rows], 50)

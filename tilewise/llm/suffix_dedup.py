@@ -138,11 +138,14 @@ def stretches(raw: bytes, bounds: np.ndarray, length: int):
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int, packer: Packer = PLAIN):
-    """(bucket, blob) of a chunk of documents: its distinct stretches, where the earliest document has them, and spans of later ones."""
+def _chunk(docs: list[tuple[int, bytes, int]], length: int, buckets: int, packer: Packer = PLAIN):
+    """(bucket, blob) of a chunk of documents (id, text, tag): its distinct stretches, where the earliest document has them, and spans of later ones.
+
+    The tag tells rows of one id with different texts apart: spans are of a row, comparisons by id.
+    """
     docs.sort(key=lambda d: d[0])
     raw = b"".join(d[1] for d in docs)
-    ids = np.array([d[0] for d in docs], np.int64)
+    ids, tags = np.array([d[0] for d in docs], np.int64), np.array([d[2] for d in docs], np.int64)
     bounds = np.concatenate([[0], np.cumsum([len(d[1]) for d in docs])]).astype(np.int64)
     first, last, gram, h = stretches(raw, bounds, length)
     if not len(first):
@@ -151,14 +154,14 @@ def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int, packer: Pac
     order = np.argsort(bucket, kind="stable")
     first, last, gram, bucket = first[order], last[order], gram[order], bucket[order]
     owner = np.searchsorted(bounds, first, side="right") - 1
-    doc, off = ids[owner], first - bounds[owner]
+    doc, off, tag = ids[owner], first - bounds[owner], tags[owner]
     end = last + length
     kind = np.uint8 if 2 * length - GRAM < 256 else np.uint16  # the longest stretch
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         seen: dict[bytes, int] = {}
         code = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(first[lo:hi].tolist(), end[lo:hi].tolist())], np.int64)
-        d, o, n = doc[lo:hi], off[lo:hi], (end - first)[lo:hi]
+        d, o, n, t = doc[lo:hi], off[lo:hi], (end - first)[lo:hi], tag[lo:hi]
         least, at = np.empty(len(seen), np.int64), np.empty(len(seen), np.int64)
         least[code[::-1]], at[code[::-1]] = d[::-1], np.arange(hi - lo)[::-1]
         keep = d == least[code]
@@ -166,6 +169,7 @@ def _chunk(docs: list[tuple[int, bytes]], length: int, buckets: int, packer: Pac
         yield int(bucket[lo]), packer.pack(
             np.frombuffer(b"".join(seen), np.uint8), n[at].astype(kind), place, _delta(least),
             _delta(code[keep]).astype(np.int32), o[keep].astype(np.uint32), _delta(d[~keep]), o[~keep].astype(np.uint32), n[~keep].astype(kind),
+            t[keep], t[~keep],
         )
 
 
@@ -287,18 +291,25 @@ def _least(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.nd
 
 def _bucket(blobs, length: int, packer: Packer = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, start, end) to remove that the stretches of one bucket show."""
-    texts, sizes, places, docs, codes, offs, spans, shift = [], [], [], [], [], [], [], 0
+    doc, _, start, end = _spans(blobs, length, packer)
+    return doc, start, end
+
+
+def _spans(blobs, length: int, packer: Packer = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (doc, tag, start, end) to remove that the stretches of one bucket show."""
+    texts, sizes, places, docs, codes, offs, owners, spans, shift = [], [], [], [], [], [], [], [], 0
     for blob in blobs:
-        text, size, place, doc, code, off, d, o, n = packer.unpack(blob)
+        text, size, place, doc, code, off, d, o, n, t, rest = packer.unpack(blob)
         texts.append(text)
         sizes.append(size.astype(np.int64))
         places.append(place.astype(np.int64))
         docs.append(np.cumsum(doc))
         codes.append(np.cumsum(code.astype(np.int64)) + shift)
         offs.append(off.astype(np.int64))
+        owners.append(t)
         shift += len(size)
-        spans.append((np.cumsum(d), o.astype(np.int64), o.astype(np.int64) + n))
-    text, size, place, doc, code, off = (np.concatenate(x) for x in (texts, sizes, places, docs, codes, offs))
+        spans.append((np.cumsum(d), rest, o.astype(np.int64), o.astype(np.int64) + n))
+    text, size, place, doc, code, off, owner = (np.concatenate(x) for x in (texts, sizes, places, docs, codes, offs, owners))
     start = np.cumsum(size) - size
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
     (a, _), (b, n) = _dense(_load(padded, start + place)), _dense(_load(padded, start + place + 8))
@@ -326,8 +337,8 @@ def _bucket(blobs, length: int, packer: Packer = PLAIN) -> tuple[np.ndarray, np.
         sorted_ = code[order]
         f, l = np.searchsorted(sorted_, which), np.searchsorted(sorted_, which, side="right")
         n = l - f
-        occ = off[order[np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
-        spans.append((np.repeat(doc[which], n), occ + np.repeat(lo, n), occ + np.repeat(hi, n)))
+        at = order[np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        spans.append((np.repeat(doc[which], n), owner[at], off[at] + np.repeat(lo, n), off[at] + np.repeat(hi, n)))
     return tuple(np.concatenate(x) for x in zip(*spans))
 
 
@@ -352,15 +363,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows: kept are the remaining bytes of each row, spans the removed (start, end) pairs.
 
     Null text: as empty; it stays null. A row with a null id loses nothing and takes nothing from others. Rows that
-    share an id take nothing from each other; should their texts differ, what any of them loses is cut, as far as it is
-    long, from all. Texts shorter than ``length`` stay. Other columns pass through unread. An empty table stays empty.
+    share an id take nothing from each other, and each loses what it shares with smaller ids, whatever the others of its
+    id lose. Texts shorter than ``length`` stay. Other columns pass through unread. An empty table stays empty.
     """
     if not GRAM <= length <= 200:
         raise ValueError("length must be from 16 to 200 bytes")
     names = df.columns
     where, own = names.index(text_col), scratch.prefix(df)
-    size, count = df.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    size = size or 0
+    ids, text_hash = F.col(id_col).cast("bigint"), F.xxhash64(text_col)
+    each = df.select(ids.alias("d"), F.octet_length(text_col).alias("n"), text_hash.alias("h")).groupBy("d").agg(F.sum("n").alias("n"), F.count("*").alias("c"), F.min("h").alias("a"), F.max("h").alias("b"))
+    mixed = F.col("d").isNotNull() & (F.col("a") != F.col("b"))
+    size, count, differ = each.agg(F.sum("n"), F.sum("c"), F.max(mixed)).first()
+    size, count = size or 0, count or 0
+    tagged = df.withColumns({f"{own}id": ids, f"{own}tag": F.lit(0).cast("bigint")})
+    if differ:  # rows of these ids are told apart by their text
+        several = each.where(mixed).select(F.col("d").alias(f"{own}several"))
+        known = df.withColumn(f"{own}id", ids).join(several, F.col(f"{own}id") == F.col(f"{own}several"), "left")
+        tagged = known.withColumn(f"{own}tag", F.when(F.col(f"{own}several").isNotNull(), text_hash).otherwise(0)).drop(f"{own}several")
     # Only for compression: the beginnings of SAMPLE texts or so, chosen by a hash.
     drawn = df.where(F.shiftrightunsigned(F.xxhash64(id_col, F.lit("sample")), 11) * F.lit(2.0**-53) < SAMPLE / max(1, count))
     some = drawn.select(F.substring(text_col, 1, SAMPLE_TEXT)).limit(2 * SAMPLE).collect()
@@ -371,7 +390,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release()
         docs, held = [], 0
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, tag in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if doc is None or len(raw) < length:
                     continue
@@ -380,7 +399,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if held + len(part) > CHUNK + length and docs:
                         yield from emit(docs)
                         docs, held = [], 0
-                    docs.append((doc, part, at))
+                    docs.append((doc, part, at, tag))
                     held += len(part)
         yield from emit(docs)
         del docs
@@ -394,12 +413,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def sort(table: pa.Table) -> pa.Table:
         release()
-        doc, start, end = _bucket((x.as_py() for x in table.column("blob")), length, _packer(sample.value))
+        doc, tag, start, end = _spans((x.as_py() for x in table.column("blob")), length, _packer(sample.value))
         home = _home(doc, homes)
-        order = np.lexsort((start, doc, home))
-        doc, start, end, home = doc[order], start[order], end[order], home[order]
+        order = np.lexsort((start, tag, doc, home))
+        doc, tag, start, end, home = doc[order], tag[order], start[order], end[order], home[order]
         cuts = np.concatenate([[0], np.flatnonzero(home[1:] != home[:-1]) + 1, [len(home)]]) if len(home) else np.zeros(1, np.int64)
-        blobs = [_packer(b"").pack(_delta(doc[a:b]), start[a:b].astype(np.uint32), end[a:b].astype(np.uint32)) for a, b in zip(cuts[:-1], cuts[1:])]
+        blobs = [_packer(b"").pack(_delta(doc[a:b]), tag[a:b], start[a:b].astype(np.uint32), end[a:b].astype(np.uint32)) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({"home": pa.array(home[cuts[:-1]].astype(np.int32), pa.int32()), "spans": pa.array(blobs, pa.binary()), "rows": pa.nulls(len(blobs), pa.binary())})
 
     def deal(batches):
@@ -424,28 +443,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def merge(table: pa.Table) -> pa.Table:
         found = [_packer(b"").unpack(x.as_py()) for x in table.column("spans") if x.is_valid]
-        by: dict[int, tuple] = {}
+        by: dict[tuple[int, int], tuple] = {}
         if found:
-            doc, start, end = (np.concatenate(x) for x in zip(*((np.cumsum(d), s.astype(np.int64), e.astype(np.int64)) for d, s, e in found)))
-            order = np.argsort(doc, kind="stable")
-            doc, start, end = doc[order], start[order], end[order]
-            cuts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
-            by = {int(doc[a]): _union(start[a:b], end[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
+            doc, tag, start, end = (np.concatenate(x) for x in zip(*((np.cumsum(d), t, s.astype(np.int64), e.astype(np.int64)) for d, t, s, e in found)))
+            order = np.lexsort((tag, doc))
+            doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+            cuts = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])) + 1, [len(doc)]])
+            by = {(int(doc[a]), int(tag[a])): _union(start[a:b], end[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
         out = []
         for blob in table.column("rows"):
             if not blob.is_valid:
                 continue
             for batch in pa.ipc.open_stream(blob.as_buffer()):
                 kept, spans = [], []
-                for doc, text in zip(batch.column(len(names)).to_pylist(), batch.column(where).to_pylist()):
+                for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in (len(names), len(names) + 1, where))):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     pairs, at, parts = [], 0, []
-                    for s, e in zip(*(x.tolist() for x in by[doc])) if doc in by else ():
-                        if s < len(raw):
-                            e = min(e, len(raw))
-                            pairs.append((s, e))
-                            parts.append(raw[at:s])
-                            at = e
+                    for s, e in zip(*(x.tolist() for x in by[doc, tag])) if (doc, tag) in by else ():
+                        pairs.append((s, e))
+                        parts.append(raw[at:s])
+                        at = e
                     kept.append(b"".join([*parts, raw[at:]]))
                     spans.append(pairs)
                 out.append(finish(batch, kept, spans))
@@ -456,21 +473,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     empty = to_arrow_schema(kind).empty_table()
-    ids = F.col(id_col).cast("bigint")
-    spans = df.select(ids.alias("d"), text_col).mapInArrow(cut, "bucket int, blob binary").groupBy("bucket").applyInArrow(sort, "home int, spans binary, rows binary")
-    dealt = df.select("*", ids.alias(f"{own}id")).mapInArrow(deal, "home int, spans binary, rows binary")
+    spans = tagged.select(f"{own}id", text_col, f"{own}tag").mapInArrow(cut, "bucket int, blob binary").groupBy("bucket").applyInArrow(sort, "home int, spans binary, rows binary")
+    dealt = tagged.select(*[f"`{c}`" for c in names], f"{own}id", f"{own}tag").mapInArrow(deal, "home int, spans binary, rows binary")
     return spans.union(dealt).groupBy("home").applyInArrow(merge, schema)
 
 
-def _parts(docs: list[tuple[int, bytes, int]], length: int, buckets: int, packer: Packer = PLAIN):
-    """As _chunk, for parts of documents; each part's offset is added to its spans' places."""
-    if all(at == 0 for _, _, at in docs):
-        yield from _chunk([(d, raw) for d, raw, _ in docs], length, buckets, packer)
+def _parts(docs: list[tuple], length: int, buckets: int, packer: Packer = PLAIN):
+    """As _chunk, for parts of documents (id, bytes, offset, tag or none); each part's offset is added to its spans' places."""
+    docs = [(d, raw, at, *(tag or (0,))) for d, raw, at, *tag in docs]
+    if all(at == 0 for _, _, at, _ in docs):
+        yield from _chunk([(d, raw, tag) for d, raw, _, tag in docs], length, buckets, packer)
         return
-    for d, raw, at in docs:
-        for bucket, blob in _chunk([(d, raw)], length, buckets, packer):
+    for d, raw, at, tag in docs:
+        for bucket, blob in _chunk([(d, raw, tag)], length, buckets, packer):
             x = packer.unpack(blob)
-            yield bucket, packer.pack(*x[:5], x[5] + np.uint32(at), *x[6:])
+            yield bucket, packer.pack(*x[:5], x[5] + np.uint32(at), *x[6:7], x[7] + np.uint32(at), *x[8:])
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
