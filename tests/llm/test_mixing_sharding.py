@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tilewise.llm import mixing as M
 from tilewise.llm import sharding as H
@@ -62,6 +63,26 @@ def test_query_against_brute_force(spark):
         taken[s] += r.taken
         largest[s] = max(largest[s], r["size"])
     assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] for s in sizes)
+
+
+def test_a_large_document_is_settled_first(spark):
+    rows = [(i, "w " * n, "s") for i, n in enumerate([5000, 4000, 1200, *range(1, 90)])] + [(1000 + i, "w " * 30, "t") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    picks = Counter()
+    for seed in range(3):
+        got = M.copies(df, weights=(1, 1), share=0.6, seed=seed).where("source = 's'").collect()
+        assert abs(sum(r["size"] * r.copies for r in got) - got[0].target) <= 60
+        picks += Counter(r.doc_id for r in got if r.doc_id < 2 and r.copies)
+    assert 0 < sum(picks.values()) < 6
+
+
+def test_units_of_very_many_rows(spark):
+    df = spark.range(5_000_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("x").alias("source"))
+    got = M.copies(df, share=0.3, weights=(1,)).agg(F.count("*"), F.sum("copies"), F.max("copies")).first()
+    assert tuple(got) == (5_000_000, 1_500_000, 1)
+    some = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("x").alias("source"), F.col("id").alias("n"))
+    assert M.mix(some, share=0.3, weights=(1,)).agg(F.count("*"), F.countDistinct("n")).first()[:] == (90_000, 90_000)
 
 
 def test_many_equal_rows_and_rows_without_id(spark):

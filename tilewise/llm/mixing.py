@@ -9,10 +9,14 @@ sum stays its target up to the last document that is left.
 Rows that agree in source, id and size are one unit: as many of them as their probabilities sum up to are certain, and
 what is left over is the unit's probability. So no hash is shared, however often a row repeats.
 
-Documents meet in blocks of about ``BLOCK``, drawn by a hash; each block is folded into decisions and at most one
+Documents of more than a ``LARGE``-th of their source are settled first, the largest before the others: each meets all that
+are smaller, taken together, as these have one probability. If it gets its copy, what it is given comes from all of them
+alike, else what it leaves goes to all of them alike. One that only they can balance in one way goes that way. There are
+fewer than ``LARGE`` of them in a source.
+
+The others meet in blocks of about ``BLOCK``, drawn by a hash; each block is folded into decisions and at most one
 undecided document. Undecided ones meet in blocks again, a tree with log(documents)/log(BLOCK) levels, down to one a
-source, which is rounded to the nearer side. Within a block the largest meet first, so that small ones are left to
-carry what is undecided. Hot sources are many blocks. Draws are hashes: reruns agree.
+source, which is rounded to the nearer side. Hot sources are many blocks. Draws are hashes: reruns agree.
 
 All of it is DataFrame functions. Sources are aggregated first: one row each.
 """
@@ -26,13 +30,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewise.llm import scratch
+from tilewise.operators.blocks import rank_in_groups
 
 #: Documents that meet in a block, on average; weights, the share of all words that is mixed, and copies at most.
 BLOCK, WEIGHTS, SHARE, MOST = 128, (3, 1, 2), 1.5, 2.0
+#: The part of a source from which on a document is settled first; rows of a unit that are counted out at once.
+LARGE, ROWS = 1000, 1 << 16
 #: Sources up to which their targets, a row each, are broadcast.
 SOURCES = 10_000
 _WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 _UNIT = "struct<size:bigint,h:bigint,id:{id},p:double>"
+#: Large documents of a source, the largest first, against all smaller ones of one probability p and m words.
+_SETTLE = """
+    aggregate(
+      large,
+      named_struct('m', mass, 'p', p, 'done', cast(array() as array<struct<id:{id},size:bigint,h:bigint,pick:int,p:double>>)),
+      (acc, b) -> transform(array(named_struct('m', acc.m - b.size, 'up', (1 - acc.p) * b.size, 'down', acc.p * b.size,
+          'u', shiftrightunsigned(xxhash64(b.h, {seed}L), 11) * pow(2D, -53))), t ->
+        case when t.m > 0 and t.up <= acc.p * t.m and (t.u < acc.p or t.down > (1 - acc.p) * t.m)
+          then named_struct('m', t.m, 'p', greatest(0D, acc.p - t.up / t.m), 'done', array_append(acc.done, named_struct('id', b.id, 'size', b.size, 'h', b.h, 'pick', 1, 'p', 1D)))
+        when t.m > 0 and t.down <= (1 - acc.p) * t.m
+          then named_struct('m', t.m, 'p', least(1D, acc.p + t.down / t.m), 'done', array_append(acc.done, named_struct('id', b.id, 'size', b.size, 'h', b.h, 'pick', 0, 'p', 0D)))
+        else named_struct('m', t.m, 'p', acc.p, 'done', array_append(acc.done, named_struct('id', b.id, 'size', b.size, 'h', b.h, 'pick', cast(null as int), 'p', acc.p)))
+        end)[0])
+"""
 _FOLD = """
     aggregate(
       units,
@@ -93,12 +114,24 @@ def _counts(df: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     shares = scratch.save(targets(sums, weights, share, most), "targets")
     keys = ["source", "source_size", "target", "base", "n"]
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    both = units.join(F.broadcast(shares.withColumnRenamed("source", "s")) if shares.count() <= SOURCES else shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    few, named = shares.count() <= SOURCES, shares.withColumnRenamed("source", "s")
+    both = units.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     both = both.withColumn("ratio", F.round(ratio, 12)).withColumn("base", F.floor("ratio").cast("int"))
     both = both.withColumn("sum", F.round((F.col("ratio") - F.col("base")) * F.col("rows"), 9)).withColumn("whole", F.floor("sum")).withColumn("p", F.col("sum") - F.col("whole"))
     fixed = (F.col("size") == 0) | (F.col("p") == 0)
     out = [both.where(fixed).select(*keys, "id", "size", F.lit(0).alias("pick"))]
-    rest = both.where(~fixed).select(*keys, F.struct(F.col("size"), F.xxhash64(F.col("id"), F.col("size"), F.lit(seed)).alias("h"), F.col("id"), F.col("p")).alias("unit"))
+    open_ = both.where(~fixed).withColumn("h", F.xxhash64(F.col("id"), F.col("size"), F.lit(seed)))
+    alone = F.col("rows") == 1  # these have their source's probability
+    large = alone & (F.col("size") * LARGE > F.col("source_size"))
+    first = F.collect_list(F.when(large, F.struct("size", "h", "id")))  # fewer than LARGE, as they are parts of a sum
+    heads = open_.where(alone).groupBy(*keys).agg(F.sum("size").alias("mass"), F.max("p").alias("p"), F.reverse(F.array_sort(first)).alias("large"))
+    settled = scratch.save(heads.select(*keys, F.expr(_SETTLE.format(id=kind, seed=seed * 64)).alias("f")).select(*keys, "f.p", "f.done"), "large")
+    done = settled.select(*keys, F.explode("done").alias("d"))
+    out.append(done.where("d.pick is not null").select(*keys, "d.id", "d.size", "d.pick"))
+    now = settled.select(F.col("source").alias("s"), F.col("p").alias("now"))
+    small = open_.where(~large).join(F.broadcast(now) if few else now, F.col("source").eqNullSafe(F.col("s")), "left")
+    small = small.select(*keys, F.struct("size", "h", "id", F.when(alone, F.col("now")).otherwise(F.col("p")).alias("p")).alias("unit"))
+    rest = small.union(done.where("d.pick is null").select(*keys, F.struct("d.size", "d.h", "d.id", "d.p").alias("unit")))
     most_rows = shares.agg(F.max("n")).first()[0] or 0
     blocks, level = F.col("n"), 0
     while True:
@@ -130,7 +163,8 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     table gives an empty result. Other columns of df are not read.
     """
     counts = _counts(df, id_col, text_col, source_col, weights, share, most, seed)
-    each = counts.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / ROWS)))  # no array has a place for each of many rows
+    each = counts.withColumn("part", part).withColumn("at", F.explode(F.sequence(F.col("part") * ROWS + 1, F.least(F.col("rows"), (F.col("part") + 1) * ROWS))))
     n = (F.col("base") + (F.col("at") <= F.col("extra")).cast("int")).alias("copies")
     return each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", n)
 
@@ -147,10 +181,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     same = F.col(id_col).eqNullSafe(F.col(f"{own}id")) & F.col(source_col).eqNullSafe(F.col(f"{own}source")) & (F.col(f"{own}z") == F.col(f"{own}size"))
     taken = (F.col(f"{own}base") > 0) | (F.col(f"{own}extra") > 0)
     both = keyed.join(counts.where(taken), same)
-    at = F.lit(1)
-    if not counts.where((F.col(f"{own}rows") > 1) & taken).isEmpty():
-        at = F.row_number().over(Window.partitionBy(f"{own}id", f"{own}source", f"{own}size").orderBy(F.xxhash64(text_col)))
-    both = both.withColumn(f"{own}n", F.col(f"{own}base") + (at <= F.col(f"{own}extra")).cast("int")).where(F.col(f"{own}n") > 0)
+    several = F.col(f"{own}rows") > 1
+    alone, at = both.where(~several).withColumn(f"{own}at", F.lit(0).cast("bigint")), f"{own}at"
+    if counts.where(several & taken).isEmpty():
+        both = alone
+    else:
+        ranked = rank_in_groups(both.where(several).withColumn(f"{own}text", F.xxhash64(text_col)), [f"{own}id", f"{own}source", f"{own}size"], [f"{own}text"], at)
+        both = alone.unionByName(ranked.drop(f"{own}text"))
+    both = both.withColumn(f"{own}n", F.col(f"{own}base") + (F.col(at) < F.col(f"{own}extra")).cast("int")).where(F.col(f"{own}n") > 0)
     return both.withColumn(f"{own}n", F.explode(F.sequence(F.lit(1), F.col(f"{own}n")))).select(*[f"`{c}`" for c in df.columns])
 
 
