@@ -28,6 +28,10 @@ from tilewise.llm.memory import release
 SAMPLE, BUCKETS, RAISE, SWITCH, OWN_SCRIPT, FOREIGN = 2000, 1 << 16, 0.05, 12.0, 0.01, 25.0
 #: Characters scored at once; (word, language) cells of Viterbi kept at once; rows labelled at once.
 BLOCK, CELLS, ROWS = 1 << 20, 1 << 23, 1024
+#: Training texts that a task counts, about.
+TEXTS = 1500
+#: Characters of the texts that are labelled together: Viterbi takes a step for each word of the longest.
+GROUP = 4 << 20
 #: First code point of each range, and its script (0: none or any other).
 RANGES = (
     (0x0000, 0), (0x0041, 1), (0x0250, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 0),
@@ -205,7 +209,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=["lang", "blob"])
 
     grams, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), SCRIPTS))
-    for r in good.where(drawn).select(text_col, lang_col).repartition(6).mapInArrow(count, "lang int, blob binary").collect():
+    for r in good.where(drawn).select(text_col, lang_col).repartition(max(1, -(-len(langs) * sample // TEXTS))).mapInArrow(count, "lang int, blob binary").collect():
         x = np.frombuffer(zstandard.decompress(bytes(r["blob"])), np.int64)
         grams[r["lang"]] += x[:BUCKETS]
         scripts[r["lang"]] += x[BUCKETS:]
@@ -233,7 +237,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", spans: bool = F
             lo = size = 0
             for i, t in enumerate(text):
                 size += len(t or "")
-                if size > BLOCK or i == len(text) - 1:
+                if size > GROUP or i == len(text) - 1:
                     done += m.label(text[lo : i + 1])
                     lo, size = i + 1, 0
             new = [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.float64())]
