@@ -1,13 +1,20 @@
-"""Text scores: tokens, longest common subsequence, ROUGE-L."""
+"""Text scores: tokens, longest common subsequence, ROUGE-L; numbers as text."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """A number with so many digits after the point. The double's exact value is rounded, ties to even, as C and Python do."""
+    return F.call_function("format_number", F.col(x) if isinstance(x, str) else x, F.lit("0." + "0" * digits))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of a-z and 0-9; everything else separates. Null: no tokens."""
     c = F.col(text) if isinstance(text, str) else text
@@ -15,19 +22,42 @@ def tokens(text: Column | str) -> Column:
     return F.filter(split, lambda t: t != "")
 
 
+def lcs_steps(b: list[str], a: list[str], at: Sequence[int], block: int = 8192) -> list[int]:
+    """Lengths of the longest common subsequences of b and the first n tokens of a, for each n of ``at``.
+
+    Bit-parallel, a block of b at a time: a step adds a number of as many bits as the block has tokens, and what it carries
+    goes to the next block. Tokens that the block doesn't have and that carry nothing are no work. Memory is a carry for
+    each token of a and the masks of one block, at most block squared / 16 bytes.
+    """
+    most = max(at, default=0)
+    a = a[:most]
+    wanted = sorted({min(n, len(a)) for n in at})
+    found = dict.fromkeys(wanted, 0)
+    carry = bytearray(len(a))
+    for lo in range(0, len(b), block):
+        part = b[lo : lo + block]
+        mask: dict[str, int] = {}
+        for i, t in enumerate(part):
+            mask[t] = mask.get(t, 0) | 1 << i
+        full = (1 << len(part)) - 1
+        v, begin = full, 0
+        for n in wanted:
+            for i in range(begin, n):
+                hit = v & mask.get(a[i], 0)
+                if hit or carry[i]:
+                    total = v + hit + carry[i]
+                    carry[i] = total > full
+                    v = (total | (v - hit)) & full
+            begin = n
+            found[n] += len(part) - v.bit_count()
+    return [found[min(n, len(a))] for n in at]
+
+
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a machine word of b at a time (bit-parallel)."""
+    """Length of the longest common subsequence."""
     if len(a) < len(b):
         a, b = b, a
-    at: dict[str, int] = {}
-    for i, t in enumerate(b):
-        at[t] = at.get(t, 0) | 1 << i
-    full = (1 << len(b)) - 1
-    v = full
-    for t in a:
-        hit = v & at.get(t, 0)
-        v = ((v + hit) | (v - hit)) & full
-    return len(b) - v.bit_count()
+    return lcs_steps(b, a, [len(a)])[0]
 
 
 @F.pandas_udf(IntegerType())
@@ -36,11 +66,24 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def lcs_lengths(reference: pd.Series, candidate: pd.Series, at: pd.Series) -> pd.Series:
+    """Longest common subsequences of the reference and each prefix of the candidate whose length is in ``at``, in one pass."""
+    return pd.Series([lcs_steps(list(x), list(y), [int(n) for n in k]) for x, y, k in zip(reference, candidate, at)])
+
+
 def f_measure(common: Column, n_reference: Column, n_candidate: Column) -> Column:
     """F1 of precision common/n_candidate and recall common/n_reference; 0 where nothing is common."""
     return F.when(common > 0, 2.0 * common / (n_reference + n_candidate)).otherwise(F.lit(0.0))
 
 
+def rouge_l_prefixes(reference: Column, candidate: Column, limits: Sequence[int]) -> Column:
+    """ROUGE-L F1 of a reference and the candidate's first tokens, as an array in the order of the limits."""
+    at = F.array(*[F.least(F.size(candidate), F.lit(n)) for n in limits])
+    score = lambda common, n: f_measure(common, F.size(reference), n)
+    return F.zip_with(lcs_lengths(reference, candidate, at), at, score)
+
+
 def rouge_l(reference: Column, candidate: Column) -> Column:
     """ROUGE-L F1 of two token arrays."""
     return f_measure(lcs_length(reference, candidate), F.size(reference), F.size(candidate))

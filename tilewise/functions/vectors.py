@@ -27,7 +27,6 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 
-
 def keep_prefix(vec: Column | str, k: Column | str, width: int = 8, height: int = 8, rows: int = 5, cols: int = 5) -> Column:
     """The raster with only its first k tiles; all else 0. A k above rows * cols raises."""
     k, n = _c(k), rows * cols
@@ -36,10 +35,27 @@ def keep_prefix(vec: Column | str, k: Column | str, width: int = 8, height: int
     return F.zip_with(_c(vec), tile, lambda x, t: F.when((t >= 0) & (t < k), x).otherwise(F.lit(0).cast("float")))
 
 
+def tile_mask(tiles: Column | str, width: int = 8, height: int = 8, rows: int = 5, cols: int = 5) -> Column:
+    """Whether each pixel is in one of a list of tiles, whose order and repeats don't matter."""
+    return F.transform(_tiles(width, height, rows, cols), lambda t: F.array_contains(_c(tiles), t))
+
+
+def keep(vec: Column | str, mask: Column | str) -> Column:
+    """The raster with only the pixels of a mask."""
+    return F.zip_with(_c(vec), _c(mask), lambda x, m: F.when(m, x).otherwise(F.lit(0).cast("float")))
+
+
 def keep_tiles(vec: Column | str, tiles: Column | str, width: int = 8, height: int = 8, rows: int = 5, cols: int = 5) -> Column:
-    """The raster with only the tiles in a list, whose order and repeats don't matter."""
-    tile = _tiles(width, height, rows, cols)
-    return F.zip_with(_c(vec), tile, lambda x, t: F.when(F.array_contains(_c(tiles), t), x).otherwise(F.lit(0).cast("float")))
+    """The raster with only the tiles in a list. Where lists repeat from row to row, make their ``tile_mask`` once and ``keep`` it."""
+    return keep(vec, tile_mask(tiles, width, height, rows, cols))
+
+
+def tile_sums(vec: Column | str, f, width: int = 8, height: int = 8, rows: int = 5, cols: int = 5) -> Column:
+    """The sum of f over the pixels of each tile, as an array by tile."""
+    tw, th = width // cols, height // rows
+    pixels = [[(r * th + y) * width + c * tw + x for y in range(th) for x in range(tw)] for r in range(rows) for c in range(cols)]
+    each = lambda i: f(F.get(_c(vec), F.lit(i)).cast("double"))
+    return F.array(*[sum((each(i) for i in some[1:]), each(some[0])) if some else F.lit(0.0) for some in pixels])
 
 
 def _tiles(width: int, height: int, rows: int, cols: int) -> Column:

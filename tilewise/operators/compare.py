@@ -65,8 +65,13 @@ def trial_stats(sims: DataFrame) -> DataFrame:
     return stats.select("k", "layer", "mean", "std", (F.col("mean") - F.col("std")).alias("low"), (F.col("mean") + F.col("std")).alias("high"))
 
 
-def heatmap(sims: DataFrame, layers: Sequence[int], value: str = "sim", prefix: str = "l") -> DataFrame:
-    """(step, l0, l1, ...): a row for each step, labelled 'k-1->k', a column for each layer of a given list."""
+def heatmap(sims: DataFrame, layers: Sequence[int] | None = None, value: str = "sim", prefix: str = "l") -> DataFrame:
+    """(step, l0, l1, ...): a row for each step, labelled 'k-1->k', a column for each layer, in order.
+
+    Without a list of layers they are those of sims: a model's layers, a name each on the driver, as columns are.
+    """
+    if layers is None:
+        layers = sorted(r[0] for r in sims.select("layer").distinct().where("layer is not null").collect())
     named = sims.select(F.concat_ws("->", F.col("k") - 1, F.col("k")).alias("step"), F.concat(F.lit(prefix), F.col("layer")).alias("layer"), value)
     return named.groupBy("step").pivot("layer", [f"{prefix}{x}" for x in layers]).agg(F.first(value))
 

@@ -8,14 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewise.operators import scan
+from tilewise.operators.blocks import SIZE, in_blocks, split
 
-def greedy_chunks(items: DataFrame, size: int, seq: str = "seq_id", pos: str = "pos", length: str = "len") -> DataFrame:
+#: Items of a sequence that are folded as one array.
+HOT = 1 << 16
+
+
+def greedy_chunks(items: DataFrame, size: int, seq: str = "seq_id", pos: str = "pos", length: str = "len", hot: int = HOT, block: int = SIZE) -> DataFrame:
     """(seq, chunk, n_items, len, cache_len): items in order, a chunk closed as soon as it has ``size`` or more; the tail stays.
 
-    An item is never split. cache_len is the length up to and with the chunk. A sequence is one array: sequences, not
-    tables, are folded.
+    An item is never split; a null length is 0. cache_len is the length up to and with the chunk. A sequence of up to
+    ``hot`` items is folded as one array. A longer one is cut into blocks, each of which is a map from the length that is
+    open when it begins to the chunks that it closes and the length that it leaves open; see ``tilewise.operators.scan``.
     """
-    ordered = items.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(length).cast("bigint").alias("l")))).alias("items"))
+    rows = items.select(seq, F.col(pos).alias("_pos"), F.coalesce(F.col(length).cast("bigint"), F.lit(0)).alias("_len"))
+    cold, large = split(rows, [seq], hot)
+    ordered = cold.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"), F.col("_len").alias("l")))).alias("items"))
     chunk = "struct<n_items:bigint,len:bigint,cache_len:bigint>"
     fold = F.expr(f"""
         aggregate(items, named_struct('done', cast(array() as array<{chunk}>), 'n', 0L, 'len', 0L, 'all', 0L),
@@ -24,7 +33,8 @@ def greedy_chunks(items: DataFrame, size: int, seq: str = "seq_id", pos: str = "
             named_struct('done', s.done, 'n', s.n + 1, 'len', s.len + x.l, 'all', s.all + x.l)),
           s -> if(s.n > 0, array_append(s.done, named_struct('n_items', s.n, 'len', s.len, 'cache_len', s.all)), s.done))
     """)
-    return ordered.select(seq, F.posexplode(fold).alias("chunk", "c")).select(seq, "chunk", "c.n_items", "c.len", "c.cache_len")
+    folded = ordered.select(seq, F.posexplode(fold).alias("chunk", "c")).select(seq, F.col("chunk").cast("bigint").alias("chunk"), "c.n_items", "c.len", "c.cache_len")
+    return folded if large is None else folded.unionByName(scan.chunks(in_blocks(large, [seq], ["_pos"], block), seq, size))
 
 
 def concat_ordered(parts: DataFrame, by: Sequence[str], order: str, values: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tilewise.functions import text as T
 from tilewise.functions.times import micros, seconds
-from tilewise.functions.vectors import keep_prefix, keep_tiles
+from tilewise.functions.vectors import keep, keep_prefix, tile_mask
 from tilewise.operators import chat, compare, sequences, serving, tiles, timing
 from tilewise.plans import experiments as X
 from tilewise.sources import images
@@ -129,9 +129,9 @@ def tile_sample(spark, sf_dir):
     SELECT k, trial, pos AS vec_id, CAST(len(list_filter(m, lambda x: x <> 0)) AS INTEGER) AS kept, round(list_sum(m), 6) AS total FROM kept
 """)
 def random_mask(spark, sf_dir):
-    sets = tiles.tile_sets(tiles.tile_sample(spark, X.SAMPLED))
+    sets = tiles.tile_sets(tiles.tile_sample(spark, X.SAMPLED)).select("k", "trial", tile_mask("tiles").alias("mask"))
     rows = _embeddings(spark, sf_dir).crossJoin(F.broadcast(sets))  # 50 sets, whatever the data
-    return _mask_facts(rows.select("k", "trial", "vec_id", keep_tiles("embedding", "tiles").alias("m")), "k", "trial", "vec_id")
+    return _mask_facts(rows.select("k", "trial", "vec_id", keep("embedding", "mask").alias("m")), "k", "trial", "vec_id")
 
 
 @query(f"""
@@ -153,32 +153,50 @@ def incremental_comparison(spark, sf_dir):
     return compare.compare_incremental(X.hidden_states(_embeddings(spark, sf_dir), range(1, 26))).select("k", "layer", *_r("sim"), "n")
 
 
-@query(f"""WITH {_INCREMENTAL} SELECT (k - 1) || '->' || k AS step, {", ".join(f"round(max(sim) FILTER (WHERE layer = {i}), 6) AS l{i}" for i in range(10))} FROM sims GROUP BY k""")
+def _pivot(sims: str, value: str) -> str:
+    return f"""WITH {sims}, named AS (SELECT (k - 1) || '->' || k AS step, 'l' || layer AS layer, {value} AS v FROM sims) PIVOT named ON layer USING round(max(v), 6) GROUP BY step"""
+
+
+def _heatmap(sims: DataFrame, value: str = "sim") -> DataFrame:
+    wide = compare.heatmap(sims, value=value)
+    return wide.select("step", *_r(*wide.columns[1:]))
+
+
+@query(_pivot(_INCREMENTAL, "sim"))
 def incremental_heatmap(spark, sf_dir):
-    wide = compare.heatmap(X.incremental_experiment(_embeddings(spark, sf_dir)), range(10))
-    return wide.select("step", *_r(*[f"l{i}" for i in range(10)]))
+    return _heatmap(X.incremental_experiment(_embeddings(spark, sf_dir)))
 
 
 @query(f"WITH {_KV} SELECT k, layer, round(key_sim, 6) AS key_sim, round(value_sim, 6) AS value_sim, n FROM sims")
 def kv_similarity(spark, sf_dir):
-    return compare.compare_kv(X.kv_cache(_embeddings(spark, sf_dir))).select("k", "layer", *_r("key_sim", "value_sim"), "n")
+    return X.kv_experiment(_embeddings(spark, sf_dir)).select("k", "layer", *_r("key_sim", "value_sim"), "n")
+
+
+@query(f"""
+    WITH {_KV[: _KV.index("cache AS")]} cache AS (
+        SELECT k, layer, pos, pos % 2 AS b, head, list_filter(m, lambda x, i: i % 2 = 1)[8 * head + 1 : 8 * head + 8] AS key, list_filter(m, lambda x, i: i % 2 = 0)[8 * head + 1 : 8 * head + 8] AS value
+        FROM masked, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS head))
+    SELECT c.k, c.layer, round(avg({_cos("p.key", "c.key")}), 6) AS key_sim, round(avg({_cos("p.value", "c.value")}), 6) AS value_sim, count(*) AS n
+    FROM cache c JOIN cache p ON p.k = c.k - 1 AND p.layer = c.layer AND p.b = c.b AND p.head = c.head AND p.pos = c.pos GROUP BY c.k, c.layer
+""")
+def kv_comparison(spark, sf_dir):
+    """The same kind of caches in two sequences and four heads, by the operator on stored caches."""
+    return compare.compare_kv(X.kv_cache(_embeddings(spark, sf_dir), batch=2, heads=4)).select("k", "layer", *_r("key_sim", "value_sim"), "n")
 
 
 @query(f"WITH {_KV} SELECT k, round(avg(key_sim), 6) AS key_sim, round(avg(value_sim), 6) AS value_sim FROM sims GROUP BY k")
 def kv_step_summary(spark, sf_dir):
-    return compare.step_summary(compare.compare_kv(X.kv_cache(_embeddings(spark, sf_dir)))).select("k", *_r("key_sim", "value_sim"))
+    return compare.step_summary(X.kv_experiment(_embeddings(spark, sf_dir))).select("k", *_r("key_sim", "value_sim"))
 
 
-@query(f"""WITH {_KV} SELECT (k - 1) || '->' || k AS step, {", ".join(f"round(max(key_sim) FILTER (WHERE layer = {i}), 6) AS l{i}" for i in range(10))} FROM sims GROUP BY k""")
+@query(_pivot(_KV, "key_sim"))
 def kv_key_heatmap(spark, sf_dir):
-    wide = compare.heatmap(compare.compare_kv(X.kv_cache(_embeddings(spark, sf_dir))), range(10), "key_sim")
-    return wide.select("step", *_r(*[f"l{i}" for i in range(10)]))
+    return _heatmap(X.kv_experiment(_embeddings(spark, sf_dir)), "key_sim")
 
 
-@query(f"""WITH {_KV} SELECT (k - 1) || '->' || k AS step, {", ".join(f"round(max(value_sim) FILTER (WHERE layer = {i}), 6) AS l{i}" for i in range(10))} FROM sims GROUP BY k""")
+@query(_pivot(_KV, "value_sim"))
 def kv_value_heatmap(spark, sf_dir):
-    wide = compare.heatmap(compare.compare_kv(X.kv_cache(_embeddings(spark, sf_dir))), range(10), "value_sim")
-    return wide.select("step", *_r(*[f"l{i}" for i in range(10)]))
+    return _heatmap(X.kv_experiment(_embeddings(spark, sf_dir)), "value_sim")
 
 
 def _requests(spark, sf_dir) -> DataFrame:
@@ -282,7 +300,7 @@ def greedy_chunks(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda t: t != ""))
     items = turns.select(F.col("conv_id").alias("seq_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "system", 24).otherwise(words).alias("len"))
-    return sequences.greedy_chunks(items, 64)
+    return sequences.greedy_chunks(items, 64).withColumn("chunk", F.col("chunk").cast("int"))
 
 
 @query("""
@@ -359,9 +377,14 @@ def _answers(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.tokens("text").alias("tokens"))
 
 
+_PREFIX_TOKENS = (20, 40, 60, 80, 100)
+
+
 def _quality(spark, sf_dir) -> DataFrame:
-    each = _answers(spark, sf_dir).select("doc_id", "tokens", F.explode(F.array(*[F.lit(k) for k in (5, 10, 15, 20, 25)])).alias("k"))
-    return each.select("doc_id", "k", "tokens", F.slice("tokens", 1, 4 * F.col("k")).alias("candidate"))
+    """(doc_id, k, f1): each document against its own beginnings, of four tokens a tile; all in one pass over the tokens."""
+    scores = T.rouge_l_prefixes(F.col("tokens"), F.slice("tokens", 1, max(_PREFIX_TOKENS)), _PREFIX_TOKENS)
+    each = _answers(spark, sf_dir).select("doc_id", F.posexplode(scores).alias("i", "f1"))
+    return each.select("doc_id", ((F.col("i") + 1) * 5).alias("k"), "f1")
 
 
 @query("""
@@ -387,13 +410,12 @@ _PREFIX_SCORES = f"""t AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents), p
 
 @query(f"WITH {_PREFIX_SCORES} SELECT doc_id, k, round(f1, 6) AS f1 FROM s")
 def rouge_l(spark, sf_dir):
-    return _quality(spark, sf_dir).select("doc_id", "k", F.round(T.rouge_l(F.col("tokens"), F.col("candidate")), 6).alias("f1"))
+    return _quality(spark, sf_dir).select("doc_id", "k", *_r("f1"))
 
 
 @query(f"WITH {_PREFIX_SCORES} SELECT k, count(*) AS n, round(avg(f1), 6) AS f1 FROM s GROUP BY k")
 def generation_quality(spark, sf_dir):
-    scored = _quality(spark, sf_dir).select("k", T.rouge_l(F.col("tokens"), F.col("candidate")).alias("f1"))
-    return scored.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("f1"))
+    return _quality(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("f1"))
 
 
 @query(None)
@@ -417,12 +439,12 @@ def rouge_l_stem(spark, sf_dir):
 @query("""
     WITH px AS (SELECT vec_id, k, list_transform(embedding, lambda x, i: CASE WHEN (i - 1) // 8 < 5 AND (i - 1) % 8 < 5 AND ((i - 1) // 8) * 5 + (i - 1) % 8 < k
                        THEN least(255, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INTEGER))) ELSE 0 END) AS p
-                FROM embeddings, (SELECT unnest([1, 10, 25]) AS k))
+                FROM embeddings, (SELECT unnest([1, 5, 10, 15, 20, 25]) AS k))
     SELECT vec_id, k, array_to_string(list_transform(p, lambda x: repeat(printf('%02X', x), 3)), '') AS pixels FROM px
 """)
 def tile_mask_image(spark, sf_dir):
     """Vectors as 8 x 8 images, tiles masked on the bytes."""
-    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", images.raster_bytes("embedding").alias("data"), F.explode(F.array(F.lit(1), F.lit(10), F.lit(25))).alias("k"))
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", images.raster_bytes("embedding").alias("data"), F.explode(F.array(*[F.lit(k) for k in X.PREFIXES])).alias("k"))
     return rows.select("vec_id", "k", F.hex(images.mask_prefix("data", F.lit(8), F.lit(8), "k")).alias("pixels"))
 
 
@@ -477,26 +499,23 @@ def gated_run(spark, sf_dir):
 
 
 @query("""
-    WITH n AS (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'purchase')
-    SELECT event_id, user_id, 'INFER_' || (i - 1) AS name, cs * 10 AS elapsed_ms, printf('Iteration %02d: %d ms', i - 1, cs * 10) AS line FROM n
+    WITH n AS (SELECT event_id, user_id, value * 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'purchase')
+    SELECT event_id, user_id, 'INFER_' || (i - 1) AS name, ms AS elapsed_ms, printf('Iteration %02d: %.2f ms', i - 1, ms) AS line FROM n
 """)
 def iteration_timing(spark, sf_dir):
     """Each run of a user by name, with the line that a report has for it."""
     at = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    n = _table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("i", F.row_number().over(at) - 1).withColumn("elapsed_ms", F.round(F.col("value") * 100).cast("bigint") * 10)
-    return n.select("event_id", "user_id", F.concat(F.lit("INFER_"), "i").alias("name"), "elapsed_ms", F.format_string("Iteration %02d: %d ms", "i", "elapsed_ms").alias("line"))
+    n = _table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("i", F.row_number().over(at) - 1).withColumn("elapsed_ms", F.col("value") * 1000)
+    return n.select("event_id", "user_id", F.concat(F.lit("INFER_"), "i").alias("name"), "elapsed_ms", F.format_string("Iteration %02d: %s ms", "i", T.fixed("elapsed_ms", 2)).alias("line"))
 
 
 @query(f"""
-    WITH {_PREFIX}, named AS (SELECT k, layer, CAST(round(sim * 10000) AS BIGINT) AS s FROM sims)
-    SELECT k, layer, 'Attention_Layer_' || layer AS attention, 'MLP_Layer_' || layer AS mlp, printf('Layer %02d: %d.%04d', layer, s // 10000, s % 10000) AS line FROM named WHERE s >= 0
+    WITH {_PREFIX} SELECT k, layer, 'Attention_Layer_' || layer AS attention, 'MLP_Layer_' || layer AS mlp, printf('Layer %02d: %.4f', layer, sim) AS line FROM sims
 """)
 def layer_report(spark, sf_dir):
-    """Names of a layer's parts and a line of text for each similarity that isn't negative."""
-    s = F.round(F.col("sim") * 10000).cast("bigint")
-    named = X.prefix_experiment(_embeddings(spark, sf_dir)).withColumn("s", s).where("s >= 0")
-    line = F.format_string("Layer %02d: %d.%04d", F.col("layer"), F.floor(F.col("s") / 10000), F.col("s") % 10000)
-    return named.select("k", "layer", F.concat(F.lit("Attention_Layer_"), "layer").alias("attention"), F.concat(F.lit("MLP_Layer_"), "layer").alias("mlp"), line.alias("line"))
+    """Names of a layer's parts and a line of text for each similarity, whatever its sign."""
+    line = F.format_string("Layer %02d: %s", F.col("layer"), T.fixed("sim", 4))
+    return X.prefix_experiment(_embeddings(spark, sf_dir)).select("k", "layer", F.concat(F.lit("Attention_Layer_"), "layer").alias("attention"), F.concat(F.lit("MLP_Layer_"), "layer").alias("mlp"), line.alias("line"))
 
 
 @query(f"""
