@@ -51,3 +51,29 @@ def request_metrics(requests: DataFrame, by: Sequence[str] = (), tokens: int = 2
     late = percentiles(rows, by, {"ttft_p95": F.col("ttft"), "latency_p95": F.col("latency")}, 0.95, hot)
     both = join_on(means, late, by) if by else means.crossJoin(late)  # a row each
     return both.select(*by, "n", "ttft_avg", "ttft_p95", "latency_avg", "latency_p95", "throughput")
+
+
+def write_with_metrics(requests: DataFrame, path: str, tokens: int = 20, hot: int = HOT) -> dict[str, float | None]:
+    """Write requests and return the metrics of the run: means and throughput come with the pass that writes, percentiles from what it wrote."""
+    from pyspark.sql import Observation
+
+    ttft, latency = F.col("first_token_time") - F.col("arrival_time"), F.col("end_time") - F.col("arrival_time")
+    seen = Observation()
+    span = F.max("end_time") - F.min("arrival_time")
+    facts = [F.count("*").alias("n"), F.avg(ttft).alias("ttft_avg"), F.avg(latency).alias("latency_avg"), F.try_divide(F.count("*") * F.lit(float(tokens)), span).alias("throughput")]
+    requests.observe(seen, *facts).write.parquet(path)
+    late = percentiles(requests.sparkSession.read.schema(requests.schema).parquet(path), [], {"ttft_p95": ttft, "latency_p95": latency}, 0.95, hot).first()
+    return {**seen.get, **late.asDict()}
+
+
+#: The lines of a run's report, with the metric and digits of each.
+BLOCK = (
+    ("================ RESULTS ================", None, 0), ("TTFT AVG      : %s s", "ttft_avg", 4), ("TTFT P95      : %s s", "ttft_p95", 4), ("Latency AVG   : %s s", "latency_avg", 4),
+    ("Latency P95   : %s s", "latency_p95", 4), ("Throughput    : %s tokens/s", "throughput", 2), ("=========================================", None, 0),
+)
+
+
+def metric_block(spark: SparkSession, metrics: dict[str, float | None]) -> DataFrame:
+    """(no, line) of the report of a run's metrics; a metric that there is none of is told as null."""
+    told = lambda m, digits: "null" if metrics[m] is None else f"{metrics[m]:.{digits}f}"
+    return spark.createDataFrame([(i, text % told(m, digits) if m else text) for i, (text, m, digits) in enumerate(BLOCK)], "no int, line string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,3 +30,13 @@ def tile_sample(spark: SparkSession, ks: Sequence[int], trials: int = 10, tiles:
 def tile_sets(sample: DataFrame) -> DataFrame:
     """(k, trial, tiles): a sample's tiles as a sorted array; as many rows as k's and trials."""
     return sample.groupBy("k", "trial").agg(F.array_sort(F.collect_list("idx")).alias("tiles"))
+
+
+def sample_rows(df: DataFrame, by: Sequence[str], k: int, key: Column | str) -> DataFrame:
+    """k rows of each group without replacement, those with the least MD5 of a key; all rows of a group that has no more.
+
+    The same on every run. Each task keeps k rows a group before they are shuffled, so a hot group costs k rows a task.
+    """
+    text = F.col(key) if isinstance(key, str) else key
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(text.cast("string")), text))
+    return df.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")

@@ -98,3 +98,14 @@ def _pairs(trace: DataFrame, by: Sequence[str], seq, ts: str) -> DataFrame:
     closed = deep.withColumn("_op", F.lead("op").over(level)).withColumn("_ts", F.lead(ts).over(level))
     end = F.when(F.col("_op") == "pop", F.col("_ts"))
     return closed.where(up).select(*by, "name", F.col(ts).alias("start"), end.alias("end"), F.col("depth").cast("int").alias("depth"))
+
+
+def named_parts(df: DataFrame, layer: str, parts: dict[str, str]) -> DataFrame:
+    """(layer, name): a range's name for each layer and each part that df has a column for; parts: names, with the layer as {}.
+
+    A part without a column is left out, as a model may lack it; with none of them there are no rows.
+    """
+    have = [name for column, name in parts.items() if column in df.columns]
+    each = df.select(F.col(layer).alias("layer")).distinct()
+    names = [F.concat(*[x for i, piece in enumerate(name.split("{}")) for x in ([F.col("layer")] if i else []) + [F.lit(piece)]]) for name in have]
+    return each.select("layer", F.explode(F.array(*names)).alias("name")) if names else each.select("layer", F.lit("").alias("name")).limit(0)

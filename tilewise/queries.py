@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from tilewise.functions import text as T
 from tilewise.functions.times import micros, seconds
-from tilewise.functions.vectors import keep, keep_prefix, tile_mask
-from tilewise.operators import chat, compare, sequences, serving, tiles, timing
+from tilewise.functions.vectors import cosine, keep, keep_prefix, tile_mask
+from tilewise.operators import chat, compare, sequences, serving, tiles, timing, vocabulary
 from tilewise.plans import experiments as X
-from tilewise.sources import images
+from tilewise.plans import network
+from tilewise.sources import images, tables, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,9 +120,23 @@ def _mask_facts(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*names, F.size(F.filter("m", lambda x: x != 0)).alias("kept"), F.round(total, 6).alias("total"))
 
 
-@query(f"WITH {_SAMPLE} SELECT k, trial, idx FROM sample")
+@query("""
+    WITH tile AS (SELECT p_partkey AS image_id, CAST(unnest(range(0, 25)) AS INTEGER) AS idx FROM part),
+    ordered AS (SELECT image_id, idx, row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws('-', image_id, idx)), idx) AS n FROM tile)
+    SELECT image_id, idx FROM ordered WHERE n <= 5
+""")
 def tile_sample(spark, sf_dir):
-    return tiles.tile_sample(spark, X.SAMPLED)
+    """Five tiles of each image."""
+    grid = tile_grid(spark, sf_dir).select("image_id", "idx")
+    return tiles.sample_rows(grid, ["image_id"], 5, F.concat_ws("-", "image_id", "idx"))
+
+
+@query("""
+    WITH ordered AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS n FROM documents) SELECT source, doc_id FROM ordered WHERE n <= 20
+""")
+def group_sample(spark, sf_dir):
+    """Twenty documents of each source."""
+    return tiles.sample_rows(_table(spark, sf_dir, "documents", "source", "doc_id"), ["source"], 20, F.col("doc_id").cast("string"))
 
 
 @query(f"""
@@ -554,13 +569,147 @@ def gauge_readings(spark, sf_dir):
     return timing.gauge_readings(g, ["user_id"], F.struct("ts", "event_id")).select("user_id", *_r("current_gb", "peak_gib"))
 
 
-@query("""
-    WITH r AS (SELECT CAST(i AS BIGINT) AS req_id, CAST(i // 16 AS INTEGER) AS batch, (i // 16) * 2.0 * 1.01 AS start FROM range(0, 1000) t(i))
-    SELECT 'BATCH_16' AS name, count(*) AS n, round(avg(start + 0.02), 4) AS ttft_avg, round(quantile_cont(start + 0.02, 0.95), 4) AS ttft_p95, round(avg(start + 2.02), 4) AS latency_avg,
-           round(quantile_cont(start + 2.02, 0.95), 4) AS latency_p95, round(count(*) * 20.0 / max(start + 2.02), 6) AS throughput FROM r
+_ORDERS = """req AS (SELECT o_orderkey AS req_id, o_orderpriority AS name, epoch_us(o_orderdate) / 1e6 AS arrival, min(epoch_us(l_shipdate)) / 1e6 AS first, max(epoch_us(l_shipdate)) / 1e6 AS last
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderdate)"""
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    """Orders as requests whose phases are stored: the first line that is shipped is the first token, the last one the end."""
+    lines = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    rows = _table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderdate").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    at = [seconds(c).alias(name) for c, name in (("o_orderdate", "arrival_time"), ("first", "first_token_time"), ("last", "end_time"))]
+    return rows.select(F.col("o_orderkey").alias("req_id"), F.col("o_orderpriority").alias("name"), *at)
+
+
+@query(f"""
+    WITH {_ORDERS}, burst AS (SELECT *, min(arrival) OVER (PARTITION BY name) AS t0 FROM req)
+    SELECT 'BURST_' || name AS name, count(*) AS n, round(avg(first - t0), 4) AS ttft_avg, round(quantile_cont(first - t0, 0.95), 4) AS ttft_p95, round(avg(last - t0), 4) AS latency_avg,
+           round(quantile_cont(last - t0, 0.95), 4) AS latency_p95, round(count(*) * 20.0 / (max(last) - min(t0)), 9) AS throughput FROM burst GROUP BY name
 """)
 def burst_metrics(spark, sf_dir):
-    """A generated burst of 1,000 requests with one arrival, in batches of 16 of two seconds each."""
-    burst = serving.build_requests(spark, 1000, 0.0).select("req_id", "arrival_time", F.lit("BATCH_16").alias("name"), F.lit(2.0).alias("seconds"))
-    m = serving.request_metrics(serving.serve(serving.assign_batches(burst, 16, ["name"]), F.max("seconds"), ["name"]), ["name"])
-    return m.select("name", "n", *_r("ttft_avg", "ttft_p95", "latency_avg", "latency_p95", digits=4), *_r("throughput"))
+    """Orders of a priority as a burst that arrives with the first of them."""
+    rows = _orders(spark, sf_dir)
+    burst = rows.drop("arrival_time").join(rows.groupBy("name").agg(F.min("arrival_time").alias("arrival_time")), "name")
+    m = serving.request_metrics(burst, ["name"])
+    return m.select(F.concat(F.lit("BURST_"), "name").alias("name"), "n", *_r("ttft_avg", "ttft_p95", "latency_avg", "latency_p95", digits=4), *_r("throughput", digits=9))
+
+
+@query(f"""
+    WITH {_ORDERS}, m AS (SELECT avg(first - arrival) AS a, quantile_cont(first - arrival, 0.95) AS b, avg(last - arrival) AS c, quantile_cont(last - arrival, 0.95) AS d, count(*) * 20.0 / (max(last) - min(arrival)) AS e FROM req),
+    told AS (SELECT ['================ RESULTS ================', printf('TTFT AVG      : %.4f s', a), printf('TTFT P95      : %.4f s', b), printf('Latency AVG   : %.4f s', c), printf('Latency P95   : %.4f s', d),
+                     printf('Throughput    : %.2f tokens/s', e), '========================================='] AS lines FROM m)
+    SELECT CAST(unnest(range(0, 7)) AS INTEGER) AS no, unnest(lines) AS line FROM told
+""")
+def metric_block(spark, sf_dir):
+    """The report of a run whose requests are written at the same time."""
+    metrics = serving.write_with_metrics(_orders(spark, sf_dir), tables.folder(spark, "served"))
+    return serving.metric_block(spark, metrics)
+
+
+@query(SQL["span_pairs"])
+def trace_files(spark, sf_dir):
+    """The ranges of span_pairs, written by the trace sink and read back."""
+    spans = span_pairs(spark, sf_dir)
+    folder = tables.folder(spark, "traces")
+    traces.write_traces(spans, folder)
+    return traces.read_traces(spark, folder, spans.schema)
+
+
+@query(f"""
+    WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(255, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INTEGER))) AS DOUBLE)) AS v FROM embeddings),
+    m AS (SELECT vec_id, k, v, {_mask("k")} AS m FROM g, (SELECT unnest([1, 5, 10, 15, 20, 25]) AS k))
+    SELECT vec_id, k, true AS same, md5(array_to_string(list_transform(m, lambda x: repeat(printf('%02X', CAST(x AS INTEGER)), 3)), '')) AS pixels_md5, round({_cos("m", "v")}, 6) AS sim FROM m
+""")
+def image_scan(spark, sf_dir):
+    """Vectors written as image files; the files listed and decoded, compared with the vectors' bytes, masked, and compared with themselves."""
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", images.raster_bytes("embedding").alias("raw"))
+    folder = tables.folder(spark, "images")
+    images.write_images(rows.select("vec_id", "raw", F.lit(8).alias("w"), F.lit(8).alias("h")), folder, "vec_id", "raw", "w", "h").write.format("noop").mode("overwrite").save()
+    name = F.regexp_extract("image.origin", r"([^/]+)\.png$", 1).cast("bigint")
+    found = images.read_images(spark, folder, False).select(name.alias("vec_id"), "image.data", "image.width", "image.height")
+    both = found.join(rows, "vec_id").withColumn("k", F.explode(F.array(*[F.lit(k) for k in X.PREFIXES])))
+    masked = both.withColumn("m", images.mask_prefix("data", "width", "height", "k"))
+    return masked.select("vec_id", "k", (F.col("data") == F.col("raw")).alias("same"), F.md5(F.hex("m").cast("string")).alias("pixels_md5"), F.round(cosine(images.grey("m"), images.grey("data")), 6).alias("sim"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents), w AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM t),
+    vocabulary AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT token FROM w)),
+    coded AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM w JOIN vocabulary USING (token) GROUP BY doc_id),
+    batch AS (SELECT doc_id, tokens, coalesce(ids, []) AS ids, max(len(tokens)) OVER (PARTITION BY doc_id // 32) AS longest FROM t LEFT JOIN coded USING (doc_id))
+    SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(list_resize(ids, longest, 0), ',')) AS ids_md5, md5(array_to_string(tokens, ' ')) AS text_md5 FROM batch
+""")
+def decode_ids(spark, sf_dir):
+    """Texts as dense ids, padded to the longest of a batch of 32, and back."""
+    rows = _answers(spark, sf_dir)
+    words = vocabulary.build(rows)
+    coded = vocabulary.encode(rows, words, ["doc_id"]).select("doc_id", "ids", F.floor(F.col("doc_id") / 32).alias("batch"))
+    longest = F.max(F.size("ids")).over(Window.partitionBy("batch"))
+    padded = coded.select("doc_id", F.size("ids").alias("n"), F.concat("ids", F.array_repeat(F.lit(0).cast("bigint"), longest - F.size("ids"))).alias("ids"))
+    out = vocabulary.decode(padded, words, ["doc_id"])
+    return out.select("doc_id", "n", F.md5(F.array_join("ids", ",")).alias("ids_md5"), F.md5("text").alias("text_md5"))
+
+
+@query(f"""
+    WITH RECURSIVE {_PREFILL}, f AS (
+        SELECT conv_id, pos, 0 AS chunk, len AS run, len FROM items WHERE pos = 0
+        UNION ALL SELECT i.conv_id, i.pos, CASE WHEN f.run >= 64 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.run >= 64 THEN i.len ELSE f.run + i.len END, i.len
+        FROM f JOIN items i ON i.conv_id = f.conv_id AND i.pos = f.pos + 1),
+    c AS (SELECT conv_id, chunk, sum(len) AS len FROM f GROUP BY conv_id, chunk),
+    work AS (SELECT conv_id, 'baseline' AS method, 1 AS calls, CAST(sum(len) AS BIGINT) AS longest FROM items GROUP BY conv_id
+             UNION ALL SELECT conv_id, 'chunked', CAST(count(*) AS INTEGER), CAST(max(len) AS BIGINT) FROM c GROUP BY conv_id),
+    runs AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'baseline' ELSE 'chunked' END AS method, ts, event_id, value FROM events WHERE event_type IN ('view', 'click')),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, method ORDER BY ts, event_id) AS n FROM runs),
+    timed AS (SELECT user_id, method, count(*) AS n, avg(value) * 1000 AS mean_ms FROM numbered WHERE n > 1 GROUP BY user_id, method),
+    reset AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'error' GROUP BY user_id),
+    peak AS (SELECT user_id, method, max(value) * 1e7 / 1073741824 AS peak_gib FROM runs LEFT JOIN reset USING (user_id) WHERE last IS NULL OR ts >= last GROUP BY user_id, method)
+    SELECT conv_id, w.method, calls, longest, t.n, round(mean_ms, 4) AS mean_ms, round(peak_gib, 6) AS peak_gib
+    FROM work w LEFT JOIN timed t ON t.user_id = conv_id AND t.method = w.method LEFT JOIN peak p ON p.user_id = conv_id AND p.method = w.method
+""")
+def prefill_methods(spark, sf_dir):
+    """A prompt in one call and in chunks, with each method's mean time after a warm-up and its peak memory since the last reset.
+
+    The runs of a prompt are the events of the user with its number: views run the baseline, clicks the chunks, errors reset the peak.
+    """
+    work = chunked_against_baseline(spark, sf_dir).drop("cache_len")
+    events = _table(spark, sf_dir, "events", "event_id", F.col("user_id").alias("conv_id"), "ts", "event_type", "value")
+    method = F.when(F.col("event_type") == "view", "baseline").when(F.col("event_type") == "click", "chunked")
+    runs = events.withColumn("method", method).where("method is not null")
+    timed = timing.timing_summary(runs, ["conv_id", "method"], ["ts", "event_id"], value="value")
+    both = F.explode(F.when(F.col("event_type") == "error", F.array(F.lit("baseline"), F.lit("chunked"))).otherwise(F.array(method))).alias("method")
+    gauges = events.where("event_type in ('view', 'click', 'error')").select("conv_id", "ts", "event_type", "value", both)
+    peak = timing.peak_since_reset(gauges, ["conv_id", "method"], F.col("event_type") == "error", value="value")
+    found = work.join(timed, ["conv_id", "method"], "left").join(peak, ["conv_id", "method"], "left")
+    return found.select("conv_id", "method", "calls", "longest", "n", *_r("mean_ms", digits=4), F.round(F.col("peak") * 1e7 / 2**30, 6).alias("peak_gib"))
+
+
+@query("SELECT label AS layer, unnest(['Embedding_Layer_' || label, 'Layer_' || label || '_Label']) AS name FROM (SELECT DISTINCT label FROM embeddings)")
+def module_names(spark, sf_dir):
+    """Names of the parts that each layer has; the table has no attention, so there is no name for it."""
+    parts = {"embedding": "Embedding_Layer_{}", "attention": "Attention_Layer_{}", "label": "Layer_{}_Label"}
+    return timing.named_parts(_embeddings(spark, sf_dir), "label", parts)
+
+
+def _model_inputs(spark, sf_dir, ks) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("b"), "embedding", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return rows.select("b", "k", keep_prefix("embedding", "k").alias("vec"))
+
+
+@query(None)
+def model_prefix_similarity(spark, sf_dir):
+    """States of a network for masked inputs against those for whole ones, by layer."""
+    full = network.hidden_states(_embeddings(spark, sf_dir).select(F.col("vec_id").alias("b"), F.lit(0).alias("k"), F.col("embedding").alias("vec")))
+    return compare.compare_layers(network.hidden_states(_model_inputs(spark, sf_dir, X.PREFIXES)), full.drop("k"))
+
+
+@query(None)
+def model_incremental_similarity(spark, sf_dir):
+    """States of a network for k tiles against those for k - 1, by layer."""
+    return compare.compare_incremental(network.hidden_states(_model_inputs(spark, sf_dir, range(1, 26))))
+
+
+@query(None)
+def model_kv_similarity(spark, sf_dir):
+    """Caches of a network, which grow with the tiles, against those of the step before, by layer."""
+    rows = _model_inputs(spark, sf_dir, range(1, 26)).withColumn("n", F.floor(F.col("k") * 7 / 25).cast("int") + 1)
+    return compare.compare_kv(network.kv_cache(rows, "n"))

@@ -6,15 +6,58 @@ three bytes a pixel in the order blue, green, red.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewise.sources import files
+
 
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
     """(image) of the files below a path, decoded by Spark's image source."""
     return spark.read.format("image").option("dropInvalid", drop_invalid).load(path)
 
 
+def png(data: bytes, width: int, height: int) -> bytes:
+    """Blue-green-red bytes, row by row, as a PNG file of 8 bits a colour."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, 3)[:, :, ::-1]
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)], axis=1).tobytes()
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def write_images(df: DataFrame, folder: str, id_col: str = "image_id", data: str = "data", width: str = "width", height: str = "height") -> DataFrame:
+    """(name, bytes) of a PNG file ``<id>.png`` for each row, written below a shared folder. Rows without id or data have none.
+
+    Files appear whole; a task that runs again writes the same ones. The result is a plan: files are there once it has run.
+    """
+    files.make(folder)
+
+    def run(batches):
+        for b in batches:
+            names, sizes = [], []
+            for image, raw, w, h in zip(*(c.to_pylist() for c in b.columns)):
+                blob = png(raw, w, h)
+                files.put(folder, f"{image}.png", blob)
+                names.append(f"{image}.png")
+                sizes.append(len(blob))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    rows = df.where(F.col(id_col).isNotNull() & F.col(data).isNotNull())
+    return rows.select(F.col(id_col).cast("string"), data, F.col(width).cast("int"), F.col(height).cast("int")).mapInArrow(run, "name string, bytes bigint")
+
+
+def grey(data: Column | str) -> Column:
+    """The first byte of each pixel as numbers from 0 to 255."""
+    c = F.col(data) if isinstance(data, str) else data
+    pixels = F.sequence(F.lit(0), (F.octet_length(c) / 3).cast("int") - 1)
+    return F.transform(pixels, lambda i: F.conv(F.hex(F.substring(c, i * 3 + 1, F.lit(1))), 16, 10).cast("double"))
+
+
 def raster_bytes(vec: str) -> Column:
     """Blue-green-red bytes of a vector of numbers from -1 to 1, a grey pixel an element."""
     level = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127.5))).cast("int")
