@@ -29,6 +29,8 @@ from tilewise.llm.memory import release
 
 #: Bits of which leaves are counted at once, leaves of a node before it is cut again, node pairs walked at once.
 STEP, NODE, BLOCK = 6, 1 << 17, 1 << 19
+#: Nodes whose partners a task keeps; leaves come in the order of nodes, so few are needed.
+KEPT = 64
 #: Bytes of a text hashed at once; a block ends at white space.
 TEXT_BLOCK = 1 << 21
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -209,8 +211,10 @@ class Cut:
         return np.searchsorted(self.top, fp, side="right") - 1
 
     def partners(self, node: int) -> np.ndarray:
-        """Nodes, itself included, with at most ``budget`` differences in the bits that both know."""
+        """Nodes, itself included, with at most ``budget`` differences in the bits that both know. The last few answers are kept."""
         if node not in self.near:
+            if len(self.near) >= KEPT:
+                self.near.clear()
             known = np.minimum(self.depth, self.depth[node])
             x = (self.top ^ self.top[node]) >> (np.uint64(63) - known) >> np.uint64(1)
             self.near[node] = np.flatnonzero(np.bitwise_count(x) <= self.budget)
@@ -251,7 +255,10 @@ def links(leaves: DataFrame, budget: int = 3, node: int = NODE) -> DataFrame:
         at = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[label[at]], pa.int64())})
 
-    dealt = leaves.select("fp", "rep").mapInArrow(deal, "pair bigint, side tinyint, leaves binary")
+    # In the order of the trie, so that a task's leaves are of few nodes, one after the other.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = leaves.select("fp", "rep").repartitionByRange(parts, "fp").sortWithinPartitions("fp")
+    dealt = ordered.mapInArrow(deal, "pair bigint, side tinyint, leaves binary")
     return dealt.groupBy("pair").applyInArrow(join, "a bigint, b bigint")
 
 
