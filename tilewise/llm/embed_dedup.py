@@ -3,8 +3,10 @@
 1. Equal vectors are one row with a count. Vectors are scaled to length 1 and turned into the axes of their second
    moments (sums over all rows), so the first dimensions hold most of a product.
 2. Rows go to tiles: a k-d tree over the leading axes, its cuts from a bounded sample, then hashed parts of leaves that
-   hold more than a tile's rows. A tile has a centre and a radius. There are about ``TILES`` tiles at most,
-   whatever the rows, so their centres can be broadcast.
+   hold more than a tile's rows. A tile has as many rows as ``TILE`` bytes hold, or an eighth of all where these are
+   few, so a row is dealt to 8 tiles at most while 8 tiles hold the table, and then to one more for each tile that the
+   table grows by and that may link with the row's. A tile has a centre and a radius; these are broadcast, and there are
+   about ``TILES`` of them at most.
 3. Two tiles meet unless their centres are too far apart for any link. A task compares them block by block: products of
    the leading dimensions first; what remains of a product is at most the product of the suffix norms; pairs that can't
    reach the threshold are dropped, and only the rest is carried to further dimensions.
@@ -23,8 +25,8 @@ from tilewise.llm import scratch
 from tilewise.llm.components import components, hook
 from tilewise.llm.vectors import distinct, matrix
 
-#: Rows of a tile at least, tiles at most, rows of the sample for cuts, rows compared at once, rounding allowed for.
-TILE, TILES, SAMPLE, BLOCK, SLACK = 4096, 4096, 50_000, 1024, 1e-4
+#: Bytes of vectors in a tile, the least and most tiles, rows of the sample for cuts, rows compared at once, rounding allowed for.
+TILE, FEW, TILES, SAMPLE, BLOCK, SLACK = 1 << 24, 8, 1 << 15, 50_000, 1024, 1e-4
 
 
 def axes(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -124,7 +126,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows, dim = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
     dim = dim or 1
     turn = axes(vectors, dim)
-    leaves = min(TILES, -(-rows // TILE))
+    tile = max(-(-rows // TILES), min(-(-rows // FEW), TILE // (8 * dim)), 1)
+    leaves = -(-rows // tile)
     share = min(1.0, SAMPLE / max(1, rows))
     drawn = vectors.where(F.shiftrightunsigned(F.xxhash64("rep", F.lit("cuts")), 11) * F.lit(2.0**-53) < share).select("vec").toArrow()
     sample = matrix(drawn.column(0), dim)
@@ -138,7 +141,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], names=["leaf", "vec", "rep", "n"])
 
     placed = scratch.save(vectors.mapInArrow(place, "leaf bigint, vec array<double>, rep bigint, n bigint"), "placed")
-    tile = max(TILE, rows // TILES)
     parts = {r[0]: max(1, -(-r[1] // (2 * tile))) for r in placed.groupBy("leaf").count().collect()}
     first, total = {}, 0
     for leaf in sorted(parts):
