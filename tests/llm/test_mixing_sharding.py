@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -134,6 +135,24 @@ def test_table_is_even_and_stable():
         H.fill(["a"], 4)
 
 
+@pytest.mark.parametrize("names, slots", [(["a"], 7), (["a", "b", "c"], 31), ([f"n{i}" for i in range(13)], 211)])
+def test_fill_by_whole_permutations(names, slots):
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    order = [[(number(f"start {n}") % slots + i * (number(f"skip {n}") % (slots - 1) + 1)) % slots for i in range(slots)] for n in names]
+    assert all(sorted(o) == list(range(slots)) for o in order)
+    owner, turn = {}, 0
+    while len(owner) < slots:
+        owner[next(s for s in order[turn % len(names)] if s not in owner)] = turn % len(names)
+        turn += 1
+    assert H.fill(names, slots) == [owner[s] for s in range(slots)]
+
+
+def test_very_long_keys(spark):
+    df = spark.createDataFrame([("k" * 300_000,), ("k" * 300_000,), ("k" * 299_999,)], "k string")
+    rows = H.place(df, "k").collect()
+    assert {(len(r.k), r.slot) for r in rows} == {(n, H._number("k" * n) % H.SLOTS) for n in (300_000, 299_999)}
+
+
 def test_placement(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, None)], "k long, shard string")
     got = H.place(df, "k").collect()

@@ -179,7 +179,8 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
 def load(archives: DataFrame, folder: str) -> DataFrame:
     """The records of archives (path): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in a revisit).
 
-    A response whose payload doesn't match its digest is an error.
+    A response whose payload doesn't match its digest is an error. A page without id comes back with a null id, one
+    without URL with an empty one. No archives, no records; records come back as often as they were written.
     """
 
     def run(batches):
