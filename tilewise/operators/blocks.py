@@ -31,13 +31,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 def split(df: DataFrame, by: Sequence[str], hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
     """df's rows of groups of at most ``hot`` rows, and those of larger groups; None if there are none. Groups are counted."""
-    large = tables.save(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot), "large")
+    large = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
     if large.isEmpty():
-        tables.drop(large)
         return df, None
     if not by:
         return df.limit(0), df
-    large = large.drop("_n")
+    large = tables.save(large.drop("_n"), "large")
     return join_on(df, large, by, "left_anti"), join_on(df, large, by, "left_semi")
 
 

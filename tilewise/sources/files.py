@@ -17,6 +17,8 @@ def put(folder: str, name: str, data: bytes) -> None:
     part = f"{base}/_{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         out.write(data)
+    if fs.get_file_info(f"{base}/{name}").type != pafs.FileType.NotFound:  # not every file system moves over a file
+        fs.delete_file(f"{base}/{name}")
     fs.move(part, f"{base}/{name}")
 
 

@@ -44,9 +44,13 @@ class TraceWriter(DataSourceArrowWriter):
                     out = out or pq.ParquetWriter(f"{base}/{name}", batch.schema, filesystem=fs, compression="zstd")
                     out.write_batch(batch)
                     rows += batch.num_rows
-        finally:
+        except BaseException:
             if out:
                 out.close()
+                fs.delete_file(f"{base}/{name}")
+            raise
+        if out:
+            out.close()
         return Written(name if out else None, rows)
 
     def commit(self, messages) -> None:
